@@ -2,31 +2,62 @@
 
 from __future__ import annotations
 
+import os
+
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from tidewell.llm import minhash_bayes, minimax_shards, url_filter
+from tidewell.llm import bpe_automaton, langid_bloom, minhash_bayes, minimax_shards, toxicity, url_filter
 from tidewell.session import read_table
 
+#: Folder of the public tokenizers' files, and the one that op10 encodes with.
+TOKENIZERS = os.environ.get("TIDEWELL_TOKENIZERS", "/opt/tokenizers")
+VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
+
 URL_RULES = [
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
 ]
 
 
+def _remainder(n: int):
+    """crc32 of the id as text, modulo n: it tells learning rows from held-out ones."""
+    return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
+
+
 def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = _remainder(4) == 2
+    learnt = docs.where(~held_out).join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
+    scored = toxicity.score_documents(docs, toxicity.fit(learnt))
+    return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
 
 
+def op8_langid_bloom(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    held_out = _remainder(3) == 1
+    found = langid_bloom.identify(docs, langid_bloom.learn(docs.where(~held_out)))
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op9_minimax_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minimax_shards.shard_documents(read_table(spark, sf_dir, "documents"), shards=24)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op7_url_filter, op9_minimax_shards)}
+def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), VOCABULARY, keep=False)
+
+
+QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op4_toxicity, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 

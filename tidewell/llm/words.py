@@ -16,6 +16,9 @@ import pyarrow as pa
 U64 = np.uint64
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: Bytes that end a word where punctuation counts as space: ASCII other than letters and digits.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x41, 0x5B), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
@@ -65,6 +68,14 @@ class Words:
     offsets: np.ndarray
     text_offsets: np.ndarray
     hashes: np.ndarray
+    sums: np.ndarray
+
+    def prefixes(self, n: int) -> tuple[np.ndarray, np.ndarray]:
+        """Indices of the words of more than n bytes, and the hashes of their first n bytes."""
+        long = np.flatnonzero(self.ends - self.starts > n)
+        starts = self.starts[long]
+        inverse = _power_tables(len(self.sums))[1]
+        return long, mix64((self.sums[starts + n] - self.sums[starts]) * inverse[starts] + U64(n * 0xA24BAED4963EE407 % 2**64))
 
     @property
     def docs(self) -> int:
@@ -100,23 +111,23 @@ def text_buffers(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return found, np.frombuffer(data, np.uint8) if data is not None else np.zeros(0, np.uint8)
 
 
-def slices(column: pa.Array, lower: bool, size: int = 1 << 20) -> Iterator[Words]:
+def slices(column: pa.Array, lower: bool, size: int = 1 << 20, space: np.ndarray = _SPACE) -> Iterator[Words]:
     """The documents of a column, in slices of about ``size`` bytes."""
     offsets, data = text_buffers(column)
     n, at = len(offsets) - 1, 0
     while at < n:
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
-        yield split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, at)
+        yield split(data[offsets[at] : offsets[to]], offsets[at : to + 1] - offsets[at], lower, at, space)
         at = to
 
 
-def split(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0) -> Words:
+def split(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0, space: np.ndarray = _SPACE) -> Words:
     """Words of the texts data[offsets[i]:offsets[i+1]]."""
     if lower:
         data = _LOWER[data]
     n = len(data)
     inside = np.zeros(n + 2, bool)
-    np.logical_not(_SPACE[data], out=inside[1:-1])
+    np.logical_not(space[data], out=inside[1:-1])
     begins, stops = inside[1:-1] & ~inside[:-2], inside[1:-1] & ~inside[2:]
     edges = offsets[(offsets > 0) & (offsets < n)]
     begins[edges] = inside[1:-1][edges]
@@ -126,4 +137,4 @@ def split(data: np.ndarray, offsets: np.ndarray, lower: bool, first: int = 0) ->
     sums = np.zeros(n + 1, U64)
     np.add.accumulate(_BYTE[data] * power[:n], out=sums[1:])
     hashes = mix64((sums[ends] - sums[starts]) * inverse[starts] + (ends - starts).astype(U64) * U64(0xD6E8FEB86659FD93))
-    return Words(first, data, starts, ends, np.searchsorted(starts, offsets), offsets, hashes)
+    return Words(first, data, starts, ends, np.searchsorted(starts, offsets), offsets, hashes, sums)
