@@ -7,13 +7,16 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe_automaton, langid_bloom, minhash_bayes, minimax_shards, toxicity, url_filter
+from tidewell.llm import bpe_automaton, cgk_decontam, langid_bloom, minhash_bayes, minimax_shards, pii_feistel, toxicity, url_filter
 from tidewell.session import read_table
 
 #: Folder of the public tokenizers' files, and the one that op10 encodes with.
 TOKENIZERS = os.environ.get("TIDEWELL_TOKENIZERS", "/opt/tokenizers")
 VOCABULARY = f"{TOKENIZERS}/word_bpe_49k.json"
 
+#: Key of the pseudonyms; production sets its own in the environment of the driver.
+PRIVATE_KEY = os.environ.get("TIDEWELL_PRIVATE_KEY", "tidewell-demonstration-key").encode()
+
 URL_RULES = [
     ("com", "/en/", "block"), ("example.com", "/en/7", "allow"), ("net", "/de/", "allow"),
     ("example.net", "/de/8", "block"), ("org", "/es/", "block"),
@@ -29,6 +32,10 @@ def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
 
+def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cgk_decontam.find_leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder(4) == 2
@@ -37,6 +44,13 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = pii_feistel.replace_private(docs, PRIVATE_KEY)
+    kinds = [F.coalesce(F.try_element_at("private", F.lit(k)), F.lit(0)).cast("long").alias(f"n_{k}") for k in pii_feistel.KINDS]
+    return found.select("doc_id", "text", "n_private", *kinds)
+
+
 def op7_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge_urls(read_table(spark, sf_dir, "pages"), rules)
@@ -57,7 +71,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), VOCABULARY, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op4_toxicity, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op3_cgk_decontam, op4_toxicity, op6_pii_feistel, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
