@@ -30,6 +30,8 @@ def save(df: DataFrame, name: str = "table") -> DataFrame:
     path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     _written.append((spark, path))
+    # the plan that wrote the copy is garbage now; collecting it lets Spark delete its shuffle files at once
+    spark.sparkContext._jvm.System.gc()
     return spark.read.schema(df.schema).parquet(path)
 
 
