@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe_automaton, cgk_decontam, langid_bloom, minhash_bayes, minimax_shards, pii_feistel, toxicity, url_filter
+from tidewell.llm import bpe_automaton, cgk_decontam, langid_bloom, minhash_bayes, minimax_shards, pii_feistel, substring_dedup, toxicity, url_filter
 from tidewell.session import read_table
 
 #: Folder of the public tokenizers' files, and the one that op10 encodes with.
@@ -44,6 +44,10 @@ def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 
+def op5_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.remove_repeats(read_table(spark, sf_dir, "documents"), length=13, keep_text=False)
+
+
 def op6_pii_feistel(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     found = pii_feistel.replace_private(docs, PRIVATE_KEY)
@@ -71,7 +75,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), VOCABULARY, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op3_cgk_decontam, op4_toxicity, op6_pii_feistel, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op3_cgk_decontam, op4_toxicity, op5_substring_dedup, op6_pii_feistel, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
