@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewell.llm import bpe_automaton, cgk_decontam, langid_bloom, minhash_bayes, minimax_shards, pii_feistel, substring_dedup, toxicity, url_filter
+from tidewell.llm import bm25_wand, bpe_automaton, cgk_decontam, langid_bloom, minhash_bayes, minimax_shards, pii_feistel, substring_dedup, toxicity, url_filter
 from tidewell.session import read_table
 
 #: Folder of the public tokenizers' files, and the one that op10 encodes with.
@@ -28,6 +28,13 @@ def _remainder(n: int):
     return F.pmod(F.crc32(F.encode(F.col("doc_id").cast("string"), "UTF-8")), F.lit(n))
 
 
+def op1_bm25_wand(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document whose id is divisible by 50 is a query against all documents."""
+    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    queries = docs.where("doc_id % 50 = 0").withColumnRenamed("doc_id", "query_id")
+    return bm25_wand.search(docs, queries, k=10)
+
+
 def op2_minhash_bayes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash_bayes.near_duplicates(read_table(spark, sf_dir, "documents"), k=4, percent=80)
 
@@ -75,7 +82,7 @@ def op10_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe_automaton.encode_documents(read_table(spark, sf_dir, "documents"), VOCABULARY, keep=False)
 
 
-QUERIES = {f.__name__: f for f in (op2_minhash_bayes, op3_cgk_decontam, op4_toxicity, op5_substring_dedup, op6_pii_feistel, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
+QUERIES = {f.__name__: f for f in (op1_bm25_wand, op2_minhash_bayes, op3_cgk_decontam, op4_toxicity, op5_substring_dedup, op6_pii_feistel, op7_url_filter, op8_langid_bloom, op9_minimax_shards, op10_bpe_automaton)}
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
