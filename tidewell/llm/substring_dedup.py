@@ -131,7 +131,8 @@ def repeated_windows(docs: DataFrame, length: int = 13) -> tuple[DataFrame, Data
     docs = docs.select("doc_id", "text").where("doc_id is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     described = save(docs.mapInArrow(_describe, f"doc_id {kind}, n_words long, d1 long, d2 long"), "described")
-    first = described.groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("first"))
+    # what a join meets is written first: then both its sides are plain exchanges, whose hot keys Spark can split
+    first = save(described.groupBy("n_words", "d1", "d2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n"), "first")
     copies = save(described.join(first, ["n_words", "d1", "d2"]).where(F.col("doc_id") > F.col("first")).select("doc_id").distinct(), "copies")
     few = copies.count() <= BROADCAST_ROWS  # 8 MB of ids; beyond that the join shuffles
     texts = docs.join(F.broadcast(copies) if few else copies, "doc_id", "left_anti")
@@ -141,7 +142,7 @@ def repeated_windows(docs: DataFrame, length: int = 13) -> tuple[DataFrame, Data
     hits = save(seeds.join(several, "seed").groupBy("doc_id").agg(F.collect_set("seed").alias("seeds")), "hits")
     windows = save(texts.join(hits, "doc_id").select("doc_id", "text", "seeds").mapInArrow(_extend(length), f"g1 long, g2 long, doc_id {kind}, start long"), "windows")
     low = windows.groupBy("g1", "g2").agg(F.min("doc_id").alias("low"), F.max("doc_id").alias("high")).where("low <> high").select("g1", "g2", "low")
-    return windows.join(low, ["g1", "g2"]), copies
+    return windows.join(save(low, "low"), ["g1", "g2"]), copies
 
 
 def remove_repeats(docs: DataFrame, length: int = 13, keep_text: bool = True) -> DataFrame:
