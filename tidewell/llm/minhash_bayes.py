@@ -183,7 +183,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     classes = save(known.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n")), "classes")
 
     bands = classes.select("class", F.explode(F.transform(F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda b: F.xxhash64(b, F.substring("sig", b * (4 * ROWS) + 1, F.lit(4 * ROWS))))).alias("key"))
-    shared = bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1")
+    shared = save(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
     members = save(bands.join(shared, "key"), "members")
     labels = save(members.groupBy("class").agg(F.sum("size").alias("degree")).withColumn("label", F.col("class")), "labels")
     members = members.drop("size")
