@@ -2,5 +2,9 @@
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict[str, str] = {}
+from tidewell.plans import market
+
+_MODULES = (market,)
+
+QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
+ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
