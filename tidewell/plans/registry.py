@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import market
+from tidewell.plans import market, posts, sentiment
 
-_MODULES = (market,)
+_MODULES = (market, posts, sentiment)
 
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
