@@ -9,10 +9,12 @@ sys.path.insert(0, str(REPO))
 
 @pytest.fixture(scope="session")
 def spark(tmp_path_factory):
+    from pyspark.sql import SparkSession
+
     from tidewell.session import build_session, prepare
 
+    SparkSession.builder.config("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session = build_session(8, 8, "6g")
-    session.conf.set("spark.checkpoint.dir", str(tmp_path_factory.mktemp("shared")))
     session.sparkContext.setLogLevel("ERROR")
     prepare(session)
     return session

@@ -8,6 +8,7 @@ import unicodedata
 import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 URL = r"https?://\S+"
 HANDLE = r"(?U)@\w+"
@@ -26,13 +27,13 @@ def dedup_key(text: Column) -> Column:
     return squeeze(F.lower(bare))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def compose(text: pd.Series) -> pd.Series:
     """Unicode NFC; SQL has no function for it."""
     return text.map(lambda t: None if t is None else unicodedata.normalize("NFC", t))
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(T.StringType())
 def unescape(text: pd.Series) -> pd.Series:
     """HTML entities resolved."""
     return text.map(lambda t: None if t is None else html.unescape(t))

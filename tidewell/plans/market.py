@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tidewell.operators import bars as B
 from tidewell.session import read_table
 
-HOUR = F.unix_timestamp("close_time").alias("hour")
+def _hour():
+    return F.unix_timestamp("close_time").alias("hour")
 
 
 def hourly(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -20,17 +21,17 @@ def _rounded(df: DataFrame, *names: str) -> list:
 
 
 def bars_hourly(spark, d):
-    return hourly(spark, d).select("instrument_id", HOUR, "open", "high", "low", "close", "volume")
+    return hourly(spark, d).select("instrument_id", _hour(), "open", "high", "low", "close", "volume")
 
 
 def bar_window_features(spark, d):
     f = B.with_features(hourly(spark, d))
-    return f.select("instrument_id", HOUR, *_rounded(f, "ret_1", "ret_24", "rvol", "atr", "sma_fast", "sma_slow"), "trend")
+    return f.select("instrument_id", _hour(), *_rounded(f, "ret_1", "ret_24", "rvol", "atr", "sma_fast", "sma_slow"), "trend")
 
 
 def bar_features(spark, d):
     f = B.last_bars(B.with_features(hourly(spark, d)))
-    return f.select("instrument_id", HOUR, *_rounded(f, "close", "ret_1", "ret_24", "rvol", "atr", "sma_fast", "sma_slow"), "trend")
+    return f.select("instrument_id", _hour(), *_rounded(f, "close", "ret_1", "ret_24", "rvol", "atr", "sma_fast", "sma_slow"), "trend")
 
 
 def bar_feature_rows(spark, d):
@@ -40,7 +41,7 @@ def bar_feature_rows(spark, d):
 
 def running_zscores(spark, d):
     f = hourly(spark, d).withColumns({"z": B.running_zscore("volume"), "change": B.change_pct("volume")})
-    return f.select("instrument_id", HOUR, F.round("z", 6).alias("z"), F.round("change", 6).alias("change"))
+    return f.select("instrument_id", _hour(), F.round("z", 6).alias("z"), F.round("change", 6).alias("change"))
 
 
 def momentum_forecasts(spark, d):
@@ -48,7 +49,7 @@ def momentum_forecasts(spark, d):
 
 
 def next_day_labels(spark, d):
-    return B.next_label(hourly(spark, d)).select("instrument_id", HOUR, F.round("label", 6).alias("label"))
+    return B.next_label(hourly(spark, d)).select("instrument_id", _hour(), F.round("label", 6).alias("label"))
 
 
 def nearest_close(spark, d):
@@ -61,18 +62,18 @@ def nearest_close(spark, d):
 def contrarian_forecasts(spark, d):
     """Volume z-scores with their sign, a busy hour as the spike."""
     z = hourly(spark, d).withColumn("z", B.running_zscore("volume")).withColumn("spike", F.col("volume") >= 3).withColumn("data_health", F.when(F.col("close") > 20, 0.9).otherwise(0.5))
-    return B.contrarian(z).select("instrument_id", HOUR, "action", "probability", "abstain")
+    return B.contrarian(z).select("instrument_id", _hour(), "action", "probability", "abstain")
 
 
 def cross_source_check(spark, d):
     """Open against close as two sources of one price, and the bar's age at the end of its day."""
     bps, far = B.cross_source(F.col("close"), F.col("open"), 500)
     end = F.date_trunc("day", "close_time") + F.expr("interval 1 day")
-    return hourly(spark, d).select("instrument_id", HOUR, F.round(bps, 6).alias("bps"), far.alias("divergent"), B.stale(F.col("close_time"), end, 720).alias("stale"))
+    return hourly(spark, d).select("instrument_id", _hour(), F.round(bps, 6).alias("bps"), far.alias("divergent"), B.stale(F.col("close_time"), end, 720).alias("stale"))
 
 
 def daily_first_bars(spark, d):
-    return B.daily_cohort(hourly(spark, d), "instrument_id", "close_time", "open").select("instrument_id", HOUR, "close")
+    return B.daily_cohort(hourly(spark, d), "instrument_id", "close_time", "open").select("instrument_id", _hour(), "close")
 
 
 QUERIES = {f.__name__: f for f in (

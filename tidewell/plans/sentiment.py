@@ -23,7 +23,8 @@ def posts(spark, d):
     )
 
 
-NOW_COL = F.lit(NOW).cast("timestamp")
+def _now():
+    return F.lit(NOW).cast("timestamp")
 
 
 def _r(*names):
@@ -49,13 +50,13 @@ def daily_quality(spark, d):
 
 
 def sentiment_deltas(spark, d):
-    return S.sentiment_delta(posts(spark, d), ["asset"], NOW_COL, 1, 1).select("asset", *_r("delta"))
+    return S.sentiment_delta(posts(spark, d), ["asset"], _now(), 1, 1).select("asset", *_r("delta"))
 
 
 def sentiment_features(spark, d):
     health = posts(spark, d).groupBy("asset").agg((F.count("*") % 2 == 0).alias("complete"), F.when(F.min("post_id") > 3, 0.5).otherwise(0.9).alias("data_health"))
     names = ["sent_mean_1h", "sent_weighted_1h", "dispersion_1h", "sent_mean_24h", "sent_weighted_24h"]
-    found = S.features(posts(spark, d), health, NOW_COL)
+    found = S.features(posts(spark, d), health, _now())
     return found.select("asset", "complete", "data_health", "volume_1h", "volume_24h", "authors_1h", *_r(*names), F.array_join("quality_flags", ",").alias("flags"))
 
 
@@ -66,14 +67,14 @@ def _quarters(spark, d):
 
 
 def seasonal_baselines(spark, d):
-    found = S.seasonal_baseline(_quarters(spark, d), "asset", NOW_COL, least=5)
+    found = S.seasonal_baseline(_quarters(spark, d), "asset", _now(), least=5)
     return found.select("asset", "bucket", *_r("center", "scale"), "n", "method")
 
 
 def seasonal_zscores(spark, d):
     rows = _quarters(spark, d)
-    base = S.seasonal_baseline(rows, "asset", NOW_COL, least=5)
-    return S.baseline_zscore(rows.where(F.col("time") > NOW_COL), base, "asset").select("asset", F.unix_timestamp("time").alias("t"), F.round("z", 4).alias("z"))
+    base = S.seasonal_baseline(rows, "asset", _now(), least=5)
+    return S.baseline_zscore(rows.where(F.col("time") > _now()), base, "asset").select("asset", F.unix_timestamp("time").alias("t"), F.round("z", 4).alias("z"))
 
 
 QUERIES = {f.__name__: f for f in (post_exclusions, daily_sentiment, daily_quality, sentiment_deltas, sentiment_features, seasonal_baselines, seasonal_zscores)}

@@ -12,15 +12,16 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
+_own: str | None = None
 _written: list[tuple[SparkSession, str]] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
     """The cluster's checkpoint folder; a temporary one of our own only where none is set (tests)."""
+    global _own
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
-        found = tempfile.mkdtemp(prefix="tidewell-")
-        spark.conf.set("spark.checkpoint.dir", found)
+        found = _own = _own or tempfile.mkdtemp(prefix="tidewell-")
     return found.rstrip("/")
 
 
