@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from tidewell.llm.words import MARKS, U64, slices
 from tidewell.scratch import save
@@ -180,6 +181,8 @@ class QueryBlock:
         if not docs:
             return
         term, doc, tf, length = (np.concatenate(x) for x in (terms, docs, counts, lengths))
+        if not len(term):
+            return
         order = np.lexsort((doc, term))
         term, doc, tf = term[order], doc[order], tf[order].astype(float)
         value = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[doc] / self.mean))
@@ -212,7 +215,7 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 16, k1
     result = spark.createDataFrame([], schema)
     for rows in _blocks(asked):
         block = spark.sparkContext.broadcast(QueryBlock(rows, documents, tokens / max(documents, 1), k, k1, b))
-        result = result.unionByName(docs.mapInArrow(_scan(block), schema))
+        result = result.unionByName(docs.mapInArrow(_scan(block, to_arrow_type(queries.schema["query_id"].dataType)), schema))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     ranked = result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
@@ -231,12 +234,12 @@ def _blocks(asked: DataFrame):
         yield rows
 
 
-def _scan(block):
+def _scan(block, queries: pa.DataType):
     def run(batches):
         known: QueryBlock = block.value
         for batch in batches:
             rows = list(known.search(batch.column(0).to_pylist(), batch.column(1)))
             query, doc, score = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(query, pa.int64() if not query else None), pa.array(doc, batch.schema.field(0).type), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
+            yield pa.RecordBatch.from_arrays([pa.array(query, queries), pa.array(doc, batch.schema.field(0).type), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
 
     return run
