@@ -6,8 +6,8 @@ each mask bit), the count is corrected for the false positives that the language
 and the largest corrected count decides (the smaller name between equals).
 
 A language contains the n-grams that a share of its learning documents have, unless another
-language has them far more often. Learning reads at most ``sample`` documents of each language (the
-smallest hashes of their ids); prediction reads every whole text.
+language has them far more often. Learning reads ``sample`` documents of each language on average
+(drawn by a hash of their ids, all where there are fewer); prediction reads every whole text.
 
 Defined cases: a null text, or one without a letter, is ``und`` with score 0, as is every text where
 nothing was learned; a text with no known n-gram gets the most frequent language with score 0.
@@ -22,7 +22,6 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import MARKS, U64, mix64, text_buffers
@@ -114,13 +113,13 @@ def _gram_frequencies(batches):
 def learn(docs: DataFrame, sample: int = 1500, share: float = 0.01, contrast: float = 0.25) -> Filters | None:
     """Filters from labelled documents (doc_id, lang, text) with a non-null ``lang``; None without any."""
     labelled = docs.where("lang is not null and doc_id is not null")
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "lang").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample)
     sizes = {r["lang"]: r["count"] for r in labelled.groupBy("lang").count().collect()}
     if not sizes:
         return None
     languages = sorted(sizes)
-    chosen = labelled.select("doc_id", "text").join(F.broadcast(ids.select("doc_id", "lang")), "doc_id")  # sample rows a language
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    bound = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(1_000_000 * sample // size)) for lang, size in sizes.items()])
+    chosen = labelled.where(draw < bound)
     counted = chosen.select("lang", "text").mapInArrow(_gram_frequencies, "lang string, gram long, n long")
     summed = counted.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
     least = F.coalesce(*[F.when(F.col("lang") == lang, F.lit(max(1.0, share * min(sample, size)))) for lang, size in sizes.items()])

@@ -5,8 +5,7 @@ logistic model is fitted to labelled documents with two penalties: on the square
 the squared change of a document's log-odds when its identity terms are swapped for those of
 another group. The second keeps a neutral mention of a group from moving the score.
 
-Fitting reads at most ``sample`` documents of each class (the smallest hashes of their ids),
-weighted to the class sizes of all labels, and keeps the ``features`` that tell the classes apart
+Fitting reads ``sample`` documents of each class on average (drawn by a hash of their ids), weighted to the class sizes of all labels, and keeps the ``features`` that tell the classes apart
 best; scoring reads every whole text.
 
 Defined cases: a null or empty text gets the score of a text without known words; without labels of
@@ -20,7 +19,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import MARKS, U64, slices
@@ -126,14 +125,14 @@ def _class_frequencies(batches):
 
 
 def fit(labelled: DataFrame, sample: int = 3000, features: int = 4096, least: int = 4) -> Model:
-    """A model from (doc_id, toxic 0/1, text); at most ``sample`` documents of each class are read."""
+    """A model from (doc_id, toxic 0/1, text); about ``sample`` documents of each class are read."""
     labelled = labelled.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
     sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
     if len(sizes) < 2:
         return Model(np.zeros(1 << BITS), 30.0 if 1 in sizes else -30.0)
-    order = Window.partitionBy("toxic").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ids = labelled.select("doc_id", "toxic").withColumn("k", F.row_number().over(order)).where(F.col("k") <= sample).select("doc_id").distinct()
-    chosen = labelled.join(F.broadcast(ids), "doc_id")  # 2 * sample rows
+    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
+    bound = F.when(F.col("toxic") == 1, F.lit(1_000_000 * sample // sizes[1])).otherwise(F.lit(1_000_000 * sample // sizes[0]))
+    chosen = labelled.where(draw < bound)
 
     counted = chosen.mapInArrow(_class_frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     read = {y: min(n, sample) for y, n in sizes.items()}
