@@ -1,15 +1,17 @@
 """Near-duplicate documents: MinHash bands, sequential Bayesian pruning, exact verification.
 
 1. Every document becomes its set of distinct k-word shingles (a shorter text is one shingle), a
-   digest of the set and a MinHash signature. Documents with equal sets form one class; classes
-   are what is compared, so copies never meet each other.
+   digest of the set and MinHash band keys. Documents with equal sets form one class; classes are
+   what is compared, so copies never meet each other. Sets and signatures are kept of those
+   classes alone that share a band with another one.
 2. Classes that agree on any band of the signature are candidates. A bucket of classes isn't
    expanded into pairs: each round tests its members against one centre. Buckets that still hold
-   several components after those rounds are searched in blocks, across components only, so no
-   link between components is lost.
+   several components once a round finds few links are searched in blocks, across components
+   only, so no link between components is lost.
 3. A pair's signatures are compared batch by batch. The matches so far give a posterior of the
    similarity (uniform prior); a pair is dropped as soon as the chance that it reaches the
-   threshold is below ``miss``. What remains is verified on the full sets.
+   threshold is below ``miss``. The search in blocks, where most pairs are near misses, goes on
+   from 192 to 704 hashes. What remains is verified on the full sets.
 4. Components over the verified links give each document its component and the kept one.
 
 Bands of 6 rows miss a pair at similarity 0.8 with probability (1 - 0.8^6)^32 = 6e-5 (0.85: 3e-7).
@@ -24,6 +26,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from functools import lru_cache, reduce
+from math import exp, lgamma, log
 
 import numpy as np
 import pyarrow as pa
@@ -36,9 +39,12 @@ from tidewell.scratch import save
 
 BANDS, ROWS = 32, 6
 SIGNATURE = BANDS * ROWS
+LONG = SIGNATURE + 512
 BATCH = 32
+#: A round of centres is the last one if it confirms less than this share of the pairs it drew.
+YIELD = 0.02
 _ROW, _BAND = stream(24, ROWS) | U64(1), stream(25, BANDS)
-_MULTIPLY, _ADD = stream(21, SIGNATURE) | U64(1), stream(22, SIGNATURE)
+_MULTIPLY, _ADD = stream(21, LONG) | U64(1), stream(22, LONG)
 
 
 def shingle_sets(column: pa.Array, k: int) -> Iterator[np.ndarray]:
@@ -60,11 +66,11 @@ def _set(words: Words, grams: np.ndarray, i: int, k: int) -> np.ndarray:
     return found[np.concatenate(([True], found[1:] != found[:-1]))]
 
 
-def signature(found: np.ndarray) -> np.ndarray:
-    """The MinHash signature of a set: per function the least 32-bit value."""
-    best = np.full(SIGNATURE, 0xFFFFFFFF, np.uint32)
+def signature(found: np.ndarray, length: int = SIGNATURE) -> np.ndarray:
+    """The MinHash signature of a set: for each of ``length`` functions the least 32-bit value."""
+    best = np.full(length, 0xFFFFFFFF, np.uint32)
     for at in range(0, len(found), 1024):
-        values = (found[at : at + 1024, None] * _MULTIPLY + _ADD) >> U64(32)
+        values = (found[at : at + 1024, None] * _MULTIPLY[:length] + _ADD[:length]) >> U64(32)
         np.minimum(best, values.min(axis=0).astype(np.uint32), out=best)
     return best
 
@@ -82,16 +88,14 @@ def _digest(found: np.ndarray) -> bytes:
 def _describe(k: int):
     def run(batches):
         for batch in batches:
-            ids, sizes, classes, signatures, keys = batch.column(0), [], [], [], []
+            ids, sizes, classes, keys = batch.column(0), [], [], []
             for found in shingle_sets(batch.column(1), k):
                 sizes.append(len(found))
                 classes.append(_digest(found) if len(found) else None)
-                sig = signature(found) if len(found) else None
-                signatures.append(sig.astype(np.uint8).tobytes() if len(found) else None)
-                keys.append(band_keys(sig).view(np.int64) if len(found) else None)
+                keys.append(band_keys(signature(found)).view(np.int64) if len(found) else None)
             yield pa.RecordBatch.from_arrays(
-                [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(signatures, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                ["doc_id", "n_shingles", "class", "sig", "keys"])
+                [ids, pa.array(sizes, pa.int64()), pa.array(classes, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
+                ["doc_id", "n_shingles", "class", "keys"])
 
     return run
 
@@ -99,9 +103,16 @@ def _describe(k: int):
 def _sets(k: int):
     def run(batches):
         for batch in batches:
-            sets = list(shingle_sets(batch.column(1), k))
-            full = [x for x in sets if len(x)]
-            yield pa.RecordBatch.from_arrays([pa.array([_digest(x) for x in full], pa.binary()), pa.array([x.tobytes() for x in full], pa.binary())], ["class", "items"])
+            full = [x for x in shingle_sets(batch.column(1), k) if len(x)]
+            long = [signature(x, LONG).astype(np.uint8) for x in full]
+            columns = {
+                "class": [_digest(x) for x in full],
+                "n": np.array([len(x) for x in full], np.int64),
+                "sig": [x[:SIGNATURE].tobytes() for x in long],
+                "long": [x.tobytes() for x in long],
+                "items": [x.tobytes() for x in full],
+            }
+            yield pa.RecordBatch.from_arrays([pa.array(v, pa.int64() if c == "n" else pa.binary()) for c, v in columns.items()], list(columns))
 
     return run
 
@@ -113,31 +124,30 @@ def least_matches(threshold: float, miss: float) -> tuple[int, ...]:
     With m matches of n and a uniform prior the similarity is Beta(m + 1, n - m + 1); its chance to
     reach the threshold is a binomial tail: P(Binomial(n + 1, threshold) <= m).
     """
-    from math import comb
-
     out = []
-    for n in range(BATCH, SIGNATURE + 1, BATCH):
+    for n in range(BATCH, LONG + 1, BATCH):
         tail, m = 0.0, -1
         while tail < miss:
             m += 1
-            tail += comb(n + 1, m) * threshold**m * (1 - threshold) ** (n + 1 - m)
+            ways = lgamma(n + 2) - lgamma(m + 1) - lgamma(n + 2 - m)
+            tail += exp(ways + m * log(threshold) + ((n + 1 - m) * log(1 - threshold) if m <= n else 0))
         out.append(m)
     return tuple(out)
 
 
 def survives(left: np.ndarray, right: np.ndarray, threshold: float, miss: float) -> np.ndarray:
-    """Which rows of two signature matrices outlast the sequential test."""
+    """Which rows of two signature matrices outlast the sequential test over all their columns."""
     alive = np.arange(len(left))
     matches = np.zeros(len(left), np.int32)
-    for step, least in enumerate(least_matches(threshold, miss)):
+    for step, least in enumerate(least_matches(threshold, miss)[: left.shape[1] // BATCH]):
         part = slice(step * BATCH, (step + 1) * BATCH)
         matches[alive] += (left[alive, part] == right[alive, part]).sum(axis=1)
         alive = alive[matches[alive] >= least]
     return alive
 
 
-def _matrix(column: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, SIGNATURE)
+def _matrix(column: pa.Array, length: int = SIGNATURE) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, length)
 
 
 def _prune(threshold: float, miss: float):
@@ -169,13 +179,13 @@ def _search(threshold: float, miss: float):
     """Pairs of a block of minor members and a block of a bucket, across components, that outlast the test."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        a, b = (_matrix(t.column("sig")) for t in (left, right))
+        a, b = (_matrix(t.column("long"), LONG) for t in (left, right))
         la, lb, ca, cb = (np.array(t.column(c).to_pylist(), object) for c in ("label", "class") for t in (left, right))
         minor = right.column("minor").to_numpy()
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for x in range(len(a)):  # two minor members meet both ways round
             others = np.flatnonzero((lb != la[x]) & (~minor | (cb > ca[x])))
-            found = others[survives(np.broadcast_to(a[x], (len(others), SIGNATURE)), b[others], threshold, miss)]
+            found = others[survives(np.broadcast_to(a[x], (len(others), LONG)), b[others], threshold, miss)]
             out[0].append(np.full(len(found), x))
             out[1].append(found)
         x, y = (pa.array(np.concatenate(o)) for o in out)
@@ -192,9 +202,9 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     """
     threshold = percent / 100
     docs = docs.select("doc_id", "text")
-    described = save(docs.mapInArrow(_describe(k), _as(docs, "n_shingles long, class binary, sig binary, keys array<long>")), "described")
+    described = save(docs.mapInArrow(_describe(k), _as(docs, "n_shingles long, class binary, keys array<long>")), "described")
     known = described.where("doc_id is not null and class is not null")
-    classes = save(known.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("sig").alias("sig"), F.first("keys").alias("keys"), F.first("n_shingles").alias("n")), "classes")
+    classes = save(known.groupBy("class").agg(F.min("doc_id").alias("first"), F.first("keys").alias("keys")), "classes")
 
     bands = classes.select("class", F.explode("keys").alias("key"))
     shared = save(bands.groupBy("key").agg(F.count("*").alias("size")).where("size > 1"), "shared")
@@ -204,19 +214,20 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
     sets = _stored_sets(docs, classes, labels, k)
     tested: list[DataFrame] = []
 
-    def link(pairs: DataFrame) -> DataFrame:
-        """Test pairs (a, b, a < b), add what holds to the links and return the labels after it."""
-        sig = classes.select("class", "sig", "n")
+    def link(pairs: DataFrame) -> tuple[DataFrame, int]:
+        """Test pairs (a, b, a < b); the labels after it and the number of links found."""
+        sig = sets.select("class", "sig", "n")
         both = pairs.join(sig.toDF("a", "sa", "na"), "a").join(sig.toDF("b", "sb", "nb"), "b")
         both = both.where(F.least("na", "nb") * 100 >= F.greatest("na", "nb") * percent)
         likely = save(both.select("a", "b", "sa", "sb").mapInArrow(_prune(threshold, miss), "a binary, b binary"), "likely")
         return confirm(likely)
 
-    def confirm(likely: DataFrame) -> DataFrame:
-        both = likely.join(sets.toDF("a", "xa"), "a").join(sets.toDF("b", "xb"), "b")
+    def confirm(likely: DataFrame) -> tuple[DataFrame, int]:
+        items = sets.select("class", "items")
+        both = likely.join(items.toDF("a", "xa"), "a").join(items.toDF("b", "xb"), "b")
         found = save(both.select("a", "b", "xa", "xb").mapInArrow(_confirm(percent), "a binary, b binary"), "edges")
         nodes = components(labels.select(F.col("class").alias("node"), "label"), found)
-        return save(labels.drop("label").join(nodes.withColumnRenamed("node", "class"), "class"), "labels")
+        return save(labels.drop("label").join(nodes.withColumnRenamed("node", "class"), "class"), "labels"), found.count()
 
     open_members = members
     for turn in range(rounds):
@@ -227,18 +238,18 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, miss: float
         pairs = labelled.join(centre, "key").where("label <> centre.label").select(F.least("class", "centre.class").alias("a"), F.greatest("class", "centre.class").alias("b")).distinct()
         pairs = save(_untested(pairs, tested), "pairs")
         tested.append(pairs)
-        labels = link(pairs)
+        labels, links = link(pairs)
         open_members, largest = _open(members, labels)
-        if largest <= block:
+        if largest <= block or links <= YIELD * pairs.count():
             break
     if largest:
-        labels = confirm(_across(open_members, labels, classes, tested, threshold, miss, block))
+        labels, _ = confirm(_across(open_members, labels, sets, tested, threshold, miss, block))
 
     top = labels.join(classes.select("class", "first"), "class")
     low = top.groupBy("label").agg(F.min("first").alias("low"))
     found = top.join(low, "label").select("class", "low")
     named = save(classes.select("class", "first").join(found, "class", "left").select("class", F.coalesce("low", "first").alias("low")), "named")
-    result = described.drop("sig", "keys").join(named, "class", "left")
+    result = described.drop("keys").join(named, "class", "left")
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("low", "doc_id"))
     return result.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
 
@@ -248,11 +259,14 @@ def _as(docs: DataFrame, rest: str) -> str:
 
 
 def _stored_sets(docs: DataFrame, classes: DataFrame, labels: DataFrame, k: int, broadcast_rows: int = 1_000_000) -> DataFrame:
-    """Full shingle sets of the classes that share a bucket, read again from one text of each."""
+    """Shingle sets and signatures of the classes that share a bucket, read again from one text of each."""
     wanted = save(classes.join(labels.select("class"), "class").select(F.col("first").alias("doc_id")), "wanted")
-    few = wanted.count() <= broadcast_rows  # 8 MB of ids; beyond that the join shuffles
+    count = wanted.count()
+    few = count <= broadcast_rows  # 8 MB of ids; beyond that the join shuffles
     texts = docs.join(F.broadcast(wanted) if few else wanted, "doc_id", "left_semi")
-    found = texts.mapInArrow(_sets(k), "class binary, items binary")
+    found = save(texts.mapInArrow(_sets(k), "class binary, n long, sig binary, long binary, items binary"), "sets")
+    if found.count() == count:  # each class gives a row at least, so this is one row of each
+        return found
     return save(found.join(labels.select("class"), "class", "left_semi").dropDuplicates(["class"]), "sets")
 
 
@@ -270,7 +284,7 @@ def _untested(pairs: DataFrame, tested: list[DataFrame]) -> DataFrame:
     return pairs.join(reduce(DataFrame.unionByName, tested), ["a", "b"], "left_anti")
 
 
-def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: list[DataFrame], threshold: float, miss: float, block: int) -> DataFrame:
+def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, tested: list[DataFrame], threshold: float, miss: float, block: int) -> DataFrame:
     """Likely pairs across components in buckets that the rounds left open, in blocks of bounded size.
 
     A bucket's commonest component isn't searched within itself: only its other, minor members are
@@ -283,9 +297,9 @@ def _across(members: DataFrame, labels: DataFrame, classes: DataFrame, tested: l
     lefts = F.ceil((F.col("size") - F.col("most")) / block).cast("int")
     rights = F.ceil(F.col("size") / block).cast("int")
     draw = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
-    sig = classes.select("class", "sig")
-    left = rows.where("minor").join(sig, "class").select("key", draw(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), "class", "label", "sig")
-    right = rows.join(sig, "class").select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), draw(rights, 2).alias("j"), "class", "label", "minor", "sig")
+    sig = sets.select("class", "long")
+    left = rows.where("minor").join(sig, "class").select("key", draw(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), "class", "label", "long")
+    right = rows.join(sig, "class").select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), draw(rights, 2).alias("j"), "class", "label", "minor", "long")
     right = right.toDF(*right.columns)
     pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_search(threshold, miss), "a binary, b binary")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
