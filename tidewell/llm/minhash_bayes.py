@@ -176,16 +176,24 @@ def _confirm(percent: int):
 
 
 def _search(threshold: float, miss: float):
-    """Pairs of a block of minor members and a block of a bucket, across components, that outlast the test."""
+    """Pairs of a block of minor members and a block of a bucket, across components, that outlast the test.
+
+    A pair that meets in several open buckets is given by the one with the least key.
+    """
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
+        if not left.num_rows or not right.num_rows:
+            return pa.table({"a": pa.array([], pa.binary()), "b": pa.array([], pa.binary())})
         a, b = (_matrix(t.column("long"), LONG) for t in (left, right))
         la, lb, ca, cb = (np.array(t.column(c).to_pylist(), object) for c in ("label", "class") for t in (left, right))
         minor = right.column("minor").to_numpy()
+        key = left.column("key")[0].as_py()
+        lower = [[{k for k in keys if k < key} for keys in t.column("open").to_pylist()] for t in (left, right)]
         out: list[list[np.ndarray]] = [[np.zeros(0, np.int64)], [np.zeros(0, np.int64)]]
         for x in range(len(a)):  # two minor members meet both ways round
             others = np.flatnonzero((lb != la[x]) & (~minor | (cb > ca[x])))
             found = others[survives(np.broadcast_to(a[x], (len(others), LONG)), b[others], threshold, miss)]
+            found = np.array([y for y in found if lower[0][x].isdisjoint(lower[1][y])], np.int64)
             out[0].append(np.full(len(found), x))
             out[1].append(found)
         x, y = (pa.array(np.concatenate(o)) for o in out)
@@ -288,7 +296,7 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, tested: list
     """Likely pairs across components in buckets that the rounds left open, in blocks of bounded size.
 
     A bucket's commonest component isn't searched within itself: only its other, minor members are
-    compared, with all members.
+    compared, with all members. A class is in a bucket of each band at most, so its open keys are few.
     """
     labelled = save(members.join(labels.select("class", "label"), "class"), "labelled")
     counts = labelled.groupBy("key", "label").agg(F.count("*").alias("n"))
@@ -297,9 +305,9 @@ def _across(members: DataFrame, labels: DataFrame, sets: DataFrame, tested: list
     lefts = F.ceil((F.col("size") - F.col("most")) / block).cast("int")
     rights = F.ceil(F.col("size") / block).cast("int")
     draw = lambda n, seed: F.pmod(F.xxhash64("class", F.lit(seed)), n).cast("int")
-    sig = sets.select("class", "long")
-    left = rows.where("minor").join(sig, "class").select("key", draw(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), "class", "label", "long")
-    right = rows.join(sig, "class").select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), draw(rights, 2).alias("j"), "class", "label", "minor", "long")
+    sig = sets.select("class", "long").join(labelled.groupBy("class").agg(F.collect_list("key").alias("open")), "class")
+    left = rows.where("minor").join(sig, "class").select("key", draw(lefts, 1).alias("i"), F.explode(F.sequence(F.lit(0), rights - 1)).alias("j"), "class", "label", "long", "open")
+    right = rows.join(sig, "class").select("key", F.explode(F.sequence(F.lit(0), lefts - 1)).alias("i"), draw(rights, 2).alias("j"), "class", "label", "minor", "long", "open")
     right = right.toDF(*right.columns)
     pairs = left.groupBy("key", "i", "j").cogroup(right.groupBy("key", "i", "j")).applyInArrow(_search(threshold, miss), "a binary, b binary")
     pairs = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
