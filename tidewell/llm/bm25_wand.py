@@ -1,13 +1,15 @@
 """Exact BM25 top-k search: block-max WAND on shards of an inverted index, merged globally.
 
 Document frequencies, the number of documents and their mean length are counted over all documents
-first, so a shard's scores are the global ones and its top k can simply be merged with the others'.
-A shard is one Arrow batch of documents: its postings of the searched terms, each list in blocks
-with their highest contribution. A query walks its lists in step; a document is only scored if the
-maxima of the lists, and then of the blocks, that reach it can still enter the top k. Ties are never
-pruned: equal scores are ordered by the smaller id.
+first, so a shard's scores are the global ones and its top k can simply be merged with the others', first
+within a task.
+A shard is a slice of an Arrow batch of documents with its postings of the searched terms. A query of few terms
+walks its lists, in blocks with their highest contribution, in step; a document is only scored if the
+maxima of the lists, and then of the blocks, that reach it can still enter the top k. Over the terms of
+a whole text the maxima add up to bounds that hardly prune, so a longer query sums all its postings
+and scores the best sums again exactly. Ties are never pruned: equal scores are ordered by the smaller id.
 
-Queries come in blocks of bounded size, each broadcast to one pass over the documents.
+Queries come in blocks of bounded (query, term) rows, each broadcast to one pass over the documents.
 
 Words are lower-cased runs of letters and digits. Defined cases: rows with a null id are ignored; null
 and empty texts are documents of length 0 and match nothing; a query without known terms has no
@@ -30,7 +32,12 @@ from tidewell.llm.words import MARKS, U64, slices
 from tidewell.scratch import save
 
 BLOCK = 64  # postings in a block
-QUERIES = 20_000  # queries in one broadcast
+ROWS = 4_000_000  # (query, term) rows in one broadcast
+WAND_TERMS = 16  # known terms up to which a query is searched by WAND
+SHARD = 4096  # documents in a shard
+GROUP = 256  # queries whose sums over common terms are formed at once
+COMMON = 8  # a term is common in a shard if at least one in so many of its documents holds it
+ROOM = 1e-3  # relative room for the error of sums in single precision
 
 
 def _tokens(column: pa.Array):
@@ -57,15 +64,16 @@ def _frequencies(batches):
             seen.append(_term_counts(words)[1])
             tokens += len(words.hashes)
         terms, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U64), np.zeros(0, np.int64))
-        term = pa.array([*terms.view(np.int64).tolist(), None], pa.int64())
-        yield pa.RecordBatch.from_arrays([term, pa.array([*counts.tolist(), batch.num_rows], pa.int64()), pa.array([0] * len(terms) + [tokens], pa.int64())], ["term", "df", "tokens"])
+        del seen
+        term = pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())])
+        yield pa.RecordBatch.from_arrays([term, pa.array(np.append(counts, batch.num_rows)), pa.array(np.append(np.zeros(len(terms), np.int64), tokens))], ["term", "df", "tokens"])
 
 
 def _query_terms(batches):
     for batch in batches:
         for words in _tokens(batch.column(1)):
-            owner, terms, counts = _term_counts(words)
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + words.first)), pa.array(terms.view(np.int64)), pa.array(counts.astype(np.int64))], ["query_id", "term", "tf"])
+            owner, terms, _ = _term_counts(words)
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(pa.array(owner + words.first)), pa.array(terms.view(np.int64))], ["query_id", "term"])
 
 
 class Posting:
@@ -143,29 +151,22 @@ class _Reversed:
 
 
 class QueryBlock:
-    """Queries of one pass: their terms, and which queries have a term."""
+    """Queries of one pass: the terms of query i are ``places[starts[i]:starts[i + 1]]``, in order."""
 
     def __init__(self, rows: list[tuple], documents: int, mean: float, k: int, k1: float, b: float):
         self.k, self.k1, self.b, self.mean = k, k1, b, max(mean, 1e-9)
-        frequency = {r[1]: r[2] for r in rows}
-        terms = np.array(sorted(frequency), np.int64)
-        self.terms = np.sort(terms.view(U64))
-        df = np.array([frequency[t] for t in self.terms.view(np.int64).tolist()], float)
+        self.ids = [query for query, _, _ in rows]
+        self.starts = np.append(0, np.cumsum([len(terms) for _, terms, _ in rows]))
+        self.terms, first, places = np.unique(np.concatenate([terms for _, terms, _ in rows]).view(U64), return_index=True, return_inverse=True)
+        df = np.concatenate([n for _, _, n in rows])[first].astype(float)
         self.idf = np.log(1 + (documents - df + 0.5) / (df + 0.5))
         self.seen = np.zeros(1 << 22, bool)
         self.seen[self.terms >> U64(42)] = True
-        place = {t: i for i, t in enumerate(self.terms.view(np.int64).tolist())}
-        self.by_query: dict[object, list[int]] = {}
-        for query, term, _ in rows:
-            self.by_query.setdefault(query, []).append(place[term])
-        self.by_term: list[list] = [[] for _ in self.terms]
-        for query, at in self.by_query.items():
-            at.sort()
-            for t in at:
-                self.by_term[t].append(query)
-
-    def search(self, ids: list, column: pa.Array):
-        """(query, document, score) of the shard that these documents form."""
+        owner = np.repeat(np.arange(len(rows)), np.diff(self.starts))
+        self.places = places[np.lexsort((places, owner))].astype(np.int32)
+
+    def search(self, ids: list, column: pa.Array, best: dict[int, list]):
+        """Merge the shard that these documents form into ``best``: of query i the k best (score, id) so far."""
         docs, terms, counts, lengths = [], [], [], []
         for words in _tokens(column):
             lengths.append(np.diff(words.offsets))
@@ -175,30 +176,101 @@ class QueryBlock:
             at = np.searchsorted(self.terms, found)
             hit = self.terms[np.minimum(at, len(self.terms) - 1)] == found
             pairs, n = np.unique(at[hit] << 32 | (owner[hit] + words.first), return_counts=True)
-            terms.append(pairs >> 32)
-            docs.append(pairs & 0xFFFFFFFF)
-            counts.append(n)
+            terms.append((pairs >> 32).astype(np.int32))
+            docs.append((pairs & 0xFFFFFFFF).astype(np.int32))
+            counts.append(n.astype(np.int32))
         if not docs:
             return
         term, doc, tf, length = (np.concatenate(x) for x in (terms, docs, counts, lengths))
         if not len(term):
             return
+        del terms, docs, counts, words, near, owner, found, at, hit, pairs, n
         order = np.lexsort((doc, term))
         term, doc, tf = term[order], doc[order], tf[order].astype(float)
         value = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[doc] / self.mean))
-        present, first = np.unique(term, return_index=True)
-        ends = np.append(first[1:], len(term))
-        postings = {int(t): Posting(doc[a:e], value[a:e]) for t, a, e in zip(present, first, ends, strict=True)}
-        for query in dict.fromkeys(q for t in postings for q in self.by_term[t]):
-            for score, name in top_k([postings[t] for t in self.by_query[query] if t in postings], ids, self.k):
-                yield query, name, score
-
+        del order, tf
+        shard = Shard(term, doc, value, len(ids), len(self.terms))
+        for low in range(0, len(self.ids), GROUP):
+            group = [self.places[self.starts[i] : self.starts[i + 1]] for i in range(low, min(low + GROUP, len(self.ids)))]
+            sums = shard.common_sums(group)
+            for i, asked in enumerate(group):
+                before = best.get(low + i, [])
+                if len(asked) <= WAND_TERMS:
+                    found = top_k([shard.posting(t) for t in asked.tolist() if shard.sizes[t]], ids, self.k)
+                else:
+                    found = shard.best(asked, sums[i], ids, self.k, before[-1][0] if len(before) >= self.k else 0.0)
+                if found:
+                    best[low + i] = sorted(before + found, key=lambda x: (-x[0], x[1]))[: self.k]
+
+
+class Shard:
+    """Postings of the searched terms in a slice of documents, by term and by document.
+
+    Terms that many of its documents hold are also rows of a matrix in single precision: a group's
+    sums over them are one product. They only choose which documents are scored, with room for error.
+    """
 
-def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 16, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    def __init__(self, term: np.ndarray, doc: np.ndarray, value: np.ndarray, docs: int, terms: int):
+        self.doc, self.value, self.docs = doc, value, docs
+        self.sizes = np.bincount(term, minlength=terms)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        common = np.flatnonzero(self.sizes * COMMON >= docs)
+        self.row = np.full(terms, -1)
+        self.row[common] = np.arange(len(common))
+        self.matrix = np.zeros((len(common), docs), np.float32)
+        held = self.row[term] >= 0
+        self.matrix[self.row[term[held]], doc[held]] = value[held]
+        order = np.argsort(doc, kind="stable")  # of one document, by term
+        self.term_of, self.value_of = term[order], value[order]
+        self.doc_starts = np.append(0, np.cumsum(np.bincount(doc, minlength=docs)))
+        self.asked = np.zeros(terms, bool)
+        self.postings: dict[int, Posting] = {}
+
+    def posting(self, t: int) -> Posting:
+        if t not in self.postings:
+            part = slice(self.starts[t], self.starts[t] + self.sizes[t])
+            self.postings[t] = Posting(self.doc[part], self.value[part])
+        return self.postings[t]
+
+    def common_sums(self, group: list[np.ndarray]) -> np.ndarray:
+        weights = np.zeros((len(group), len(self.matrix)), np.float32)
+        for i, asked in enumerate(group):
+            row = self.row[asked]
+            weights[i, row[row >= 0]] = 1
+        return weights @ self.matrix
+
+    def best(self, asked: np.ndarray, sums: np.ndarray, ids: list, k: int, least: float) -> list[tuple[float, object]]:
+        """The k best (score, id) of at least ``least`` by all the terms ``asked``; ``sums`` holds the common ones' share."""
+        rare = asked[self.row[asked] < 0]
+        flat = _ranges(self.starts[rare], self.sizes[rare])
+        near = sums + np.bincount(self.doc[flat], self.value[flat], self.docs)
+        found = np.flatnonzero((near >= least * (1 - ROOM)) & (near > 0))
+        if len(found) > k:
+            found = found[near[found] >= np.partition(near[found], -k)[-k] * (1 - ROOM)]
+        if not len(found):
+            return []
+        # in double precision, always added in the order of the terms: equal documents have equal scores
+        lengths = np.diff(self.doc_starts)[found]
+        flat = _ranges(self.doc_starts[found], lengths)
+        self.asked[asked] = True
+        hit = self.asked[self.term_of[flat]]
+        self.asked[asked] = False
+        scores = np.bincount(np.repeat(np.arange(len(found)), lengths)[hit], self.value_of[flat[hit]], len(found))
+        if len(scores) > k:
+            kept = scores >= np.partition(scores, -k)[-k]
+            found, scores = found[kept], scores[kept]
+        return sorted(zip(scores.tolist(), (ids[d] for d in found), strict=True), key=lambda x: (-x[0], x[1]))[:k]
+
+
+def _ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """start, start + 1, ... of each range, one after the other."""
+    return np.repeat(starts - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+
+
+def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """(query_id, rank, doc_id, score): the k best documents (doc_id, text) of each query (query_id, text).
 
-    A query is a whole text; it is searched by its ``terms`` most telling terms (occurrences times
-    inverse document frequency) among those that at least two documents have.
+    A query is a whole text and is searched by all of its words that any document has, each once.
     """
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text").where("doc_id is not null")
@@ -206,12 +278,10 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 16, k1
     kinds = docs.schema["doc_id"].dataType.simpleString(), queries.schema["query_id"].dataType.simpleString()
     schema = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double"
     counted = docs.select("text").mapInArrow(_frequencies, "term long, df long, tokens long")
-    frequencies = save(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")).where("term is null or df > 1"), "frequencies")
+    frequencies = save(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")), "frequencies")
     documents, tokens = frequencies.where("term is null").agg(F.max("df"), F.max("tokens")).first()
-    asked = queries.mapInArrow(_query_terms, f"query_id {kinds[1]}, term long, tf long").join(frequencies.select("term", "df"), "term")
-    weight = F.col("tf") * F.log(1 + (F.lit(documents or 0) - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    best = Window.partitionBy("query_id").orderBy(weight.desc(), "term")
-    asked = save(asked.withColumn("n", F.row_number().over(best)).where(F.col("n") <= terms).select("query_id", "term", "df"), "asked")
+    asked = queries.mapInArrow(_query_terms, f"query_id {kinds[1]}, term long").join(frequencies.select("term", "df"), "term")
+    asked = save(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("x")).select("query_id", "x.term", "x.df"), "asked")
     result = spark.createDataFrame([], schema)
     for rows in _blocks(asked):
         block = spark.sparkContext.broadcast(QueryBlock(rows, documents, tokens / max(documents, 1), k, k1, b))
@@ -222,14 +292,14 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, terms: int = 16, k1
 
 
 def _blocks(asked: DataFrame):
-    """Rows of at most QUERIES queries at a time."""
-    rows, seen = [], set()
-    for r in asked.orderBy("query_id", "term").toLocalIterator():
-        if r["query_id"] not in seen and len(seen) >= QUERIES:
+    """(query, terms, document frequencies) of whole queries, with at most ROWS terms or one query at a time."""
+    rows, size = [], 0
+    for r in asked.toLocalIterator():
+        if rows and size + len(r["term"]) > ROWS:
             yield rows
-            rows, seen = [], set()
-        seen.add(r["query_id"])
-        rows.append((r["query_id"], r["term"], r["df"]))
+            rows, size = [], 0
+        size += len(r["term"])
+        rows.append((r["query_id"], np.array(r["term"], np.int64), np.array(r["df"], np.int64)))
     if rows:
         yield rows
 
@@ -237,9 +307,15 @@ def _blocks(asked: DataFrame):
 def _scan(block, queries: pa.DataType):
     def run(batches):
         known: QueryBlock = block.value
+        best, kind = {}, pa.null()
         for batch in batches:
-            rows = list(known.search(batch.column(0).to_pylist(), batch.column(1)))
-            query, doc, score = zip(*rows, strict=True) if rows else ((), (), ())
-            yield pa.RecordBatch.from_arrays([pa.array(query, queries), pa.array(doc, batch.schema.field(0).type), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
+            kind = batch.schema.field(0).type
+            for low in range(0, batch.num_rows, SHARD):
+                part = batch.slice(low, SHARD)
+                known.search(part.column(0).to_pylist(), part.column(1), best)
+        found = [(known.ids[i], doc, score) for i, rows in best.items() for score, doc in rows]
+        for low in range(0, len(found), 10_000):
+            query, doc, score = zip(*found[low : low + 10_000], strict=True)
+            yield pa.RecordBatch.from_arrays([pa.array(query, queries), pa.array(doc, kind), pa.array(score, pa.float64())], ["query_id", "doc_id", "score"])
 
     return run
