@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import html
 import unicodedata
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import Column
@@ -14,6 +15,10 @@ URL = r"https?://\S+"
 HANDLE = r"(?U)@\w+"
 MODEL_CHARS = 512
 SCORER_CHARS = 4000
+SARCASM = ("sure", "totally", "\U0001f644", '"')
+EMOJI = "[\U0001F300-\U0001FAFF\U00002600-\U000027BF\U0001F1E6-\U0001F1FF]"
+PRICE_TARGET = r"(?U)\$[\s\x1c-\x1f]?\d|\d[\s\x1c-\x1f]?%"
+INCIDENTS = ("hack", "exploit", "outage", "halt", "depeg", "rug", "liquidation", "insolvent", "delist", "breach")
 
 
 def squeeze(text: Column) -> Column:
@@ -120,14 +125,19 @@ def uuid5(namespace: str, name: Column) -> Column:
     return F.concat(cut(1, 8), F.lit("-"), cut(9, 4), F.lit("-5"), cut(14, 3), F.lit("-"), variant, cut(18, 3), F.lit("-"), cut(21, 12))
 
 
+def _holds_any(text: Column, words: tuple[str, ...]) -> Column:
+    lowered = F.lower(text)
+    return reduce(lambda a, b: a | b, (F.contains(lowered, F.lit(w)) for w in words))
+
+
 def strata(text: Column, assets: int | Column) -> Column:
     """Labels of the kinds of post that are hard to score."""
     return F.array_compact(F.array(
-        F.when(F.regexp_like(text, F.lit(r"(?i)/s\b|yeah right|sure,")), "sarcasm"),
-        F.when(F.regexp_count(text, F.lit("[\U0001F300-\U0001FAFF]")) >= 2, "emoji"),
-        F.when(F.regexp_like(text, F.lit(r"(?i)\$\s?\d[\d,]*k?|\bto \d")), "price_target"),
+        F.when(_holds_any(text, SARCASM), "sarcasm"),
+        F.when(F.regexp_count(text, F.lit(EMOJI)) >= 2, "emoji"),
+        F.when(F.regexp_like(text, F.lit(PRICE_TARGET)), "price_target"),
         F.when(F.lit(assets) >= 2, "multi_asset"),
-        F.when(F.regexp_like(text, F.lit(r"(?i)hack|exploit|outage|halt")), "incident"),
+        F.when(_holds_any(text, INCIDENTS), "incident"),
     ))
 
 
