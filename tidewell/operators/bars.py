@@ -114,18 +114,26 @@ def next_label(bars: DataFrame, ahead: int = 24) -> DataFrame:
     return bars.select("instrument_id", "close_time", F.when((F.col("close") > 0) & (later > 0), F.ln(later / F.col("close"))).alias("label")).where("label is not null")
 
 
-def nearest_price(asked: DataFrame, bars: DataFrame, reach_hours: int = 6) -> DataFrame:
-    """``asked`` (instrument_id, at) with the close nearest in time, the earlier bar on a tie.
+def nearest_price(asked: DataFrame, bars: DataFrame) -> DataFrame:
+    """Every row of ``asked`` (instrument_id, at) with the close nearest in time, the earlier bar on a tie.
 
-    Candidates are found by an equi-join on day buckets, each bar being listed in the buckets that
-    its reach touches, so the join stays an exchange on (instrument, day).
+    The last bar before and the first one after come from running windows over asked times and bars
+    together, a day at a time; where the day has none, from the days' own first and last bars. The
+    price is NULL only without a time or any bar of the instrument.
     """
-    day = F.lit(86400)
-    seconds = F.unix_timestamp("close_time")
-    listed = bars.select("instrument_id", "close", seconds.alias("bar_at"), F.explode(F.sequence(F.floor((seconds - reach_hours * 3600) / day), F.floor((seconds + reach_hours * 3600) / day))).alias("day"))
-    wanted = asked.withColumns({"asked_at": F.unix_timestamp("at"), "day": F.floor(F.unix_timestamp("at") / day)})
-    met = wanted.join(listed, ["instrument_id", "day"]).withColumn("gap", F.abs(F.col("asked_at") - F.col("bar_at"))).where(F.col("gap") <= reach_hours * 3600)
-    return met.groupBy(*asked.columns).agg(F.min_by("close", F.struct("gap", "bar_at")).alias("price"))
+    bar = F.struct(F.unix_micros(F.col("close_time").cast("timestamp")).alias("t"), "close")
+    known = bars.where("instrument_id is not null and close_time is not null").select("instrument_id", F.lit(None).cast(asked.schema).alias("ask"), bar.alias("bar"))
+    wanted = asked.select("instrument_id", F.struct(*asked.columns).alias("ask"), F.lit(None).cast(known.schema["bar"].dataType).alias("bar"))
+    rows = wanted.unionByName(known).withColumn("t", F.coalesce("bar.t", F.unix_micros(F.col("ask.at").cast("timestamp")))).withColumn("day", F.floor(F.col("t") / 86_400_000_000))
+    day, days = Window.partitionBy("instrument_id", "day"), Window.partitionBy("instrument_id")
+    so_far = lambda c, w, end: F.last(c, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, end))
+    # of equal times the bars come first in either direction
+    within = rows.withColumns({"before": so_far("bar", day.orderBy("t", F.col("bar").isNull()), 0), "after": so_far("bar", day.orderBy(F.desc("t"), F.col("bar").isNull()), 0)}).where("ask is not null")
+    ends = rows.groupBy("instrument_id", "day").agg(F.min("bar").alias("first"), F.max("bar").alias("last"))
+    around = ends.select("instrument_id", "day", so_far("last", days.orderBy("day"), -1).alias("day_before"), so_far("first", days.orderBy(F.desc("day")), -1).alias("day_after"))
+    found = within.join(around, ["instrument_id", "day"], "left").withColumns({"before": F.coalesce("before", "day_before"), "after": F.coalesce("after", "day_after")})
+    later = F.col("before").isNull() | (F.col("after.t") - F.col("t") < F.col("t") - F.col("before.t"))
+    return found.select("ask.*", F.when(later, F.col("after.close")).otherwise(F.col("before.close")).alias("price"))
 
 
 def contrarian(scored: DataFrame, health: float = 0.8, bound: float = 2.0) -> DataFrame:
