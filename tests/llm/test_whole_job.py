@@ -6,7 +6,7 @@ from collections import Counter, defaultdict
 import pyarrow as pa
 import pytest
 
-from tidewell.llm import bm25_wand
+from tidewell.llm import bm25_wand, pii_feistel
 from tidewell.llm import queries as Q
 
 DIR = "/root/testdata/sf0.001"
@@ -40,3 +40,31 @@ def test_bm25_finds_a_word_of_one_document(spark):
     assert got == {(1, 7), *((2, i) for i in range(20, 30))}
     queries = spark.createDataFrame([(1, " ".join(f"only{i}" for i in range(30)))], "query_id long, text string")
     assert [r.doc_id for r in bm25_wand.search(docs, queries, k=3).orderBy("rank").collect()] == [0, 1, 2]
+
+
+def _with_check(country, body):
+    return f"{country}{98 - pii_feistel._mod97(body + country + '00'):02d}{body}"
+
+
+def test_ibans_of_every_country_and_beside_other_words():
+    cipher = pii_feistel.Cipher(b"k")
+    assert len(pii_feistel.IBAN_LENGTHS) == 89
+    for country, length in pii_feistel.IBAN_LENGTHS.items():
+        value = _with_check(country, ("7" * 40)[: length - 4])
+        out, counts = pii_feistel.pseudonymise(f"to {value} now", cipher)
+        assert counts == {"iban": 1} and value not in out and len(out) == len(value) + 7
+    for value in ("CZ6508000000192000145399", "GR1601101250000000012300695", "HU42117730161111101800000000", "RO49AAAA1B31007593840000", "SA0380000000608010167519", "TR330006100519786457841326"):
+        assert pii_feistel.pseudonymise(value, cipher)[1] == {"iban": 1}
+    for text in ("DE89370400440532013000 5 items", "DE89 3704 0044 0532 0130 00 5 ITEMS", "AB12 DE89370400440532013000 X"):
+        out, counts = pii_feistel.pseudonymise(text, cipher)
+        assert counts == {"iban": 1} and "0532" not in out.replace(" ", "") and out[-2:] == text[-2:]
+    out, counts = pii_feistel.pseudonymise("DE89370400440532013000 555-123-4567", cipher)
+    assert counts == {"iban": 1, "phone": 1} and "123-4567" not in out
+    out, counts = pii_feistel.pseudonymise("AB12 CDEF GHIJ 555-123-4567", cipher)
+    assert counts == {"phone": 1} and "123-4567" not in out
+    assert pii_feistel.pseudonymise("DE893704004405320130005 items", cipher)[1] == {}
+
+
+def test_phone_of_single_digits_is_found_alone():
+    out, counts = pii_feistel.pseudonymise("+1 2 3 4 5 6 7", pii_feistel.Cipher(b"k"))
+    assert counts == {"phone": 1} and out != "+1 2 3 4 5 6 7"

@@ -28,7 +28,12 @@ KINDS = ("card", "iban", "ssn", "phone", "email", "ip", "date", "secret")
 #: Years whose dates count as personal dates; both ends are part of the permuted set.
 FIRST_DAY, LAST_DAY = datetime.date(1900, 1, 1).toordinal(), datetime.date(2099, 12, 31).toordinal()
 #: IBAN lengths by country: fixed values of the registry.
-IBAN_LENGTHS = {"AT": 20, "BE": 16, "CH": 21, "DE": 22, "DK": 18, "ES": 24, "FI": 18, "FR": 27, "GB": 22, "IE": 22, "IT": 27, "LU": 20, "NL": 18, "NO": 15, "PL": 28, "PT": 25, "SE": 24}
+IBAN_LENGTHS = {x[:2]: int(x[2:]) for x in (
+    "AD24 AE23 AL28 AT20 AZ28 BA20 BE16 BG22 BH22 BI27 BR29 BY28 CH21 CR22 CY28 CZ24 DE22 DJ27 DK18 DO28 EE20 EG29 ES24 "
+    "FI18 FK18 FO18 FR27 GB22 GE22 GI23 GL18 GR27 GT28 HN28 HR21 HU28 IE22 IL23 IQ23 IS26 IT27 JO30 KW30 KZ20 LB28 LC32 "
+    "LI21 LT20 LU20 LV21 LY25 MC27 MD24 ME22 MK19 MN20 MR27 MT31 MU30 NI28 NL18 NO15 OM23 PK24 PL28 PS29 PT25 QA29 RO24 "
+    "RS22 RU33 SA24 SC31 SD18 SE24 SI19 SK24 SM27 SO23 ST25 SV28 TL23 TN24 TR26 UA29 VA22 VG24 XK20 YE30"
+).split()}
 
 PATTERN = re.compile(
     r"""(?P<secret>(?i:\b(?:token|secret|password|passwd|api[_-]?key|key)\b["']?\s*[=:]\s*["']?)(?P<hidden>[0-9A-Za-z_\-/+]{16,}))
@@ -41,8 +46,8 @@ PATTERN = re.compile(
       | (?P<card>(?<![\w.-])(?:[0-9]{13,19}|[0-9]{4}(?P<gap>[ -])[0-9]{4}(?P=gap)[0-9]{4}(?P=gap)[0-9]{1,7}|3[0-9]{3}(?P<wide>[ -])[0-9]{6}(?P=wide)[0-9]{5})(?![\w-]|\.[0-9]))""",
     re.X,
 )
-#: Every finding holds an at sign, a key word or two digits in a row (with at most a dot between).
-HINT = re.compile(r"@|[0-9][0-9.]|(?i:token|secret|passw|key)")
+#: Every finding holds an at sign, a key word, a plus before a digit, or a digit before another one or a dot.
+HINT = re.compile(r"@|[0-9][0-9.]|\+[0-9]|(?i:token|secret|passw|key)")
 
 
 class Cipher:
@@ -126,6 +131,16 @@ def _iban(cipher: Cipher, text: str) -> str | None:
     return _fill(text, f"{flat[:2]}{98 - _mod97(body + flat[:2] + '00'):02d}{body}")
 
 
+def _iban_part(text: str) -> str:
+    """The beginning of a match as long as its country's numbers are, or "" if no blank or end follows there."""
+    left = IBAN_LENGTHS.get(text[:2], 0)
+    for end, c in enumerate(text):
+        if not left:
+            return text[:end] if c == " " else ""
+        left -= c != " "
+    return "" if left else text
+
+
 def _ssn(cipher: Cipher, text: str) -> str | None:
     area, group, serial = map(int, text.split("-"))
     areas = [n for n in range(1, 900) if n != 666]
@@ -200,22 +215,34 @@ def pseudonymise(text: str, cipher: Cipher) -> tuple[str, dict[str, int]]:
     if not HINT.search(text):
         return text, counts
 
-    def replace(m: re.Match) -> str:
+    def replace(m: re.Match) -> tuple[str, int]:
+        """What stands for the text from the match's start to the returned place, where the search goes on."""
         kind = next(k for k in KINDS if m[k] is not None)
-        found = m["hidden"] if kind == "secret" else m[0]
-        new = _MAKERS[kind](cipher, found)
-        if new is None and kind in ("iban", "phone", "secret"):  # what it holds may be something else
+        found = m["hidden"] if kind == "secret" else _iban_part(m[0]) if kind == "iban" else m[0]
+        new = _MAKERS[kind](cipher, found) if found else None
+        if new is None and kind == "iban":  # what it holds, or begins, may be something else
+            return m[0][0], m.start() + 1
+        end = m.start() + len(found) if kind == "iban" else m.end()
+        if new is None and kind in ("phone", "secret"):  # what it holds may be something else
             inner = found if kind == "secret" else found[1:]
             if kind == "phone" and (card := _card(cipher, found)):
                 new, kind = card, "card"
             elif inner:
-                return m[0][: len(m[0]) - len(inner)] + PATTERN.sub(replace, inner)
+                return m[0][: len(m[0]) - len(inner)] + scan(inner), end
         if new is None:
-            return m[0]
+            return m[0], end
         counts[kind] = counts.get(kind, 0) + 1
-        return m[0][: len(m[0]) - len(found)] + new
+        return new if kind == "iban" else m[0][: len(m[0]) - len(found)] + new, end
+
+    def scan(part: str) -> str:
+        out, at = [], 0
+        while m := PATTERN.search(part, at):
+            new, end = replace(m)
+            out += part[at : m.start()], new
+            at = end
+        return "".join(out) + part[at:]
 
-    return PATTERN.sub(replace, text), counts
+    return scan(text), counts
 
 
 def replace_private(docs: DataFrame, key: bytes, counts: bool = True) -> DataFrame:
