@@ -123,6 +123,13 @@ def reservations(spark, d):
     return K.reserve(e.select("user_id", "event_id", "value"), "user_id", "event_id", "value", 20, 900.0)
 
 
+def call_reservations(spark, d):
+    """Events as calls in cycles of four hours, under the three limits in order."""
+    at = F.col("ts").cast("timestamp")
+    e = read_table(spark, d, "events").select(F.col("event_type").alias("account"), F.col("event_id").alias("attempt"), at.alias("at"), F.floor(F.hour(at) / 4).cast("string").alias("cycle"), (F.col("user_id") % 50).alias("tweets"), (F.col("value") / 100).alias("usd"))
+    return K.reserve_calls(e, 9, 60, 60.0).select("account", "attempt", "refused_by")
+
+
 def pending_outcomes(spark, d):
     """Orders past their window without a line item, by anti join."""
     o, l = read_table(spark, d, "orders"), read_table(spark, d, "lineitem").where("l_returnflag = 'R'")  # noqa: E741
@@ -164,7 +171,7 @@ def hourly_live(spark, d):
 
 QUERIES = {f.__name__: f for f in (
     calibrated_forecasts, net_edges, supplier_overlap, position_sizes, covariances, order_effects, book_fills, risk_verdicts, stress_losses, halt_history, uncovered_positions,
-    position_mismatches, bad_transitions, claimed_once, reservations, pending_outcomes, latest_ties, monthly_spend, spend_rollup, last_orders, order_page, tagged_history, hourly_live,
+    position_mismatches, bad_transitions, claimed_once, reservations, call_reservations, pending_outcomes, latest_ties, monthly_spend, spend_rollup, last_orders, order_page, tagged_history, hourly_live,
 )}
 
 _C = """f AS (SELECT o_orderkey AS signal_id, (o_custkey % 7)::INT AS advisor_id, o_orderpriority AS instrument_id, CASE o_orderstatus WHEN 'F' THEN 'long' WHEN 'O' THEN 'short' ELSE 'flat' END AS action, o_totalprice / 500000 AS raw,
