@@ -2,7 +2,11 @@
 
 import datetime as dt
 
+from tidewell.operators import portfolio as P
 from tidewell.operators import risk as K
+from tidewell.plans import desk
+
+DIR = "/root/testdata/sf0.01"
 
 
 def test_halts_are_lifted_by_actions(spark):
@@ -18,3 +22,21 @@ def test_calls_meet_three_limits_in_order(spark):
     df = spark.createDataFrame([("k", *r) for r in rows], "account string, attempt long, at timestamp, cycle string, tweets long, usd double")
     got = [r.refused_by for r in K.reserve_calls(df, 3, 100, 10.0).orderBy("attempt").collect()]
     assert got == [None, "max_tweets_per_cycle", None, None, "max_requests_per_day", None, "max_monthly_usd", "max_tweets_per_cycle", None]
+
+
+def test_cluster_of_a_long_chain(spark):
+    spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
+    members = spark.range(1, 101).withColumnRenamed("id", "n")
+    edges = spark.range(1, 90).selectExpr("id as a", "id + 1 as b")
+    assert {r.n: r.cluster for r in P.cluster(members, edges, "n").collect()} == {i: 1 if i <= 90 else i for i in range(1, 101)}
+
+
+def test_supplier_clusters(spark):
+    links = [(r.a, r.b) for r in desk.supplier_overlap(spark, DIR).collect()]
+    assert links
+    got = {r.s_suppkey: r.cluster for r in desk.supplier_clusters(spark, DIR).collect()}
+    want = {i: i for i in got}
+    while any(want[a] != want[b] for a, b in links):
+        for a, b in links:
+            want[a] = want[b] = min(want[a], want[b])
+    assert got == want

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.graph import components
+
 
 def calibrate(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, shrinkage: float = 0.0) -> DataFrame:
     """Probability p, expected excess bps and weight of each forecast.
@@ -37,17 +39,10 @@ def similar_pairs(members: DataFrame, key: str, node: str, evidence: str, over:
     return met.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") > over).select(key, "a", "b", "jaccard")
 
 
-def cluster(members: DataFrame, edges: DataFrame, node: str, rounds: int = 30) -> DataFrame:
-    """``members`` with the smallest node that each one's links reach, as ``cluster``."""
-    labels = members.select(F.col(node).alias("node"), F.col(node).alias("label"))
-    both = edges.select("a", "b").unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    for _ in range(rounds):
-        near = both.join(labels.withColumnRenamed("node", "b"), "b").groupBy("a").agg(F.min("label").alias("near"))
-        new = labels.join(near.withColumnRenamed("a", "node"), "node", "left").select("node", F.least("label", "near").alias("label"), (F.col("near") < F.col("label")).alias("moved")).checkpoint()
-        labels = new.select("node", "label")
-        if new.where("moved").isEmpty():
-            break
-    return members.join(labels.toDF(node, "cluster"), node)
+def cluster(members: DataFrame, edges: DataFrame, node: str) -> DataFrame:
+    """``members`` with the smallest node that each one's links reach, over any number of links, as ``cluster``."""
+    nodes = members.select(F.col(node).alias("node")).where("node is not null").distinct()
+    return members.join(components(nodes.withColumn("label", F.col("node")), edges.select("a", "b")).toDF(node, "cluster"), node)
 
 
 def merge_clusters(clustered: DataFrame) -> DataFrame:

@@ -40,6 +40,12 @@ def supplier_overlap(spark, d):
     return P.similar_pairs(sets, "s_nationkey", "s_suppkey", "parts", 0.6).select("s_nationkey", "a", "b", F.round("jaccard", 6).alias("jaccard"))
 
 
+def supplier_clusters(spark, d):
+    """Suppliers with the least supplier that overlaps lead to."""
+    members = read_table(spark, d, "supplier").select("s_suppkey")
+    return P.cluster(members, supplier_overlap(spark, d), "s_suppkey").select("s_suppkey", "cluster")
+
+
 def _market(spark, d):
     """Regions are books, nations instruments, the spread of their customers' balances the volatility."""
     c = read_table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg((F.stddev_pop("c_acctbal") / 10000).alias("vol"), (F.avg("c_acctbal") - 4500).alias("edge"))
@@ -170,7 +176,7 @@ def hourly_live(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    calibrated_forecasts, net_edges, supplier_overlap, position_sizes, covariances, order_effects, book_fills, risk_verdicts, stress_losses, halt_history, uncovered_positions,
+    calibrated_forecasts, net_edges, supplier_overlap, supplier_clusters, position_sizes, covariances, order_effects, book_fills, risk_verdicts, stress_losses, halt_history, uncovered_positions,
     position_mismatches, bad_transitions, claimed_once, reservations, call_reservations, pending_outcomes, latest_ties, monthly_spend, spend_rollup, last_orders, order_page, tagged_history, hourly_live,
 )}
 
