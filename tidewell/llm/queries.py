@@ -46,8 +46,8 @@ def op3_cgk_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = _remainder(4) == 2
-    learnt = docs.where(~held_out).join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    scored = toxicity.score_documents(docs, toxicity.fit(learnt))
+    model = toxicity.fit(docs.where(~held_out), read_table(spark, sf_dir, "labels"))
+    scored = toxicity.score_documents(docs, model)
     return scored.select("doc_id", held_out.alias("held_out"), "score", F.when(F.col("score") >= 0.3, 1).otherwise(0).alias("predicted"))
 
 

@@ -5,11 +5,13 @@ logistic model is fitted to labelled documents with two penalties: on the square
 the squared change of a document's log-odds when its identity terms are swapped for those of
 another group. The second keeps a neutral mention of a group from moving the score.
 
-Fitting reads ``sample`` documents of each class on average (drawn by a hash of their ids), weighted to the class sizes of all labels, and keeps the ``features`` that tell the classes apart
+Fitting reads ``sample`` documents of each class at most (those with the least hash of their ids),
+weighted to the class sizes of all labels, and keeps the ``features`` that tell the classes apart
 best; scoring reads every whole text.
 
 Defined cases: a null or empty text gets the score of a text without known words; without labels of
-both classes every score is the share of toxic labels (0 without any).
+both classes every score is the share of toxic labels (0 without any). An id with several labels is
+toxic if any of them says so, one with several texts is read by the least of them.
 """
 
 from __future__ import annotations
@@ -23,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewell.llm.words import MARKS, U64, slices
+from tidewell.scratch import save
 
 BITS = 20
 PREFIXES = (4, 5, 6, 7)
@@ -124,15 +127,25 @@ def _class_frequencies(batches):
         yield pa.RecordBatch.from_arrays([pa.array(at), pa.array(counts[0, at]), pa.array(counts[1, at])], ["bucket", "clean", "toxic"])
 
 
-def fit(labelled: DataFrame, sample: int = 3000, features: int = 4096, least: int = 4) -> Model:
-    """A model from (doc_id, toxic 0/1, text); about ``sample`` documents of each class are read."""
-    labelled = labelled.where("toxic in (0, 1) and doc_id is not null").select("doc_id", F.col("toxic").cast("int").alias("toxic"), "text")
-    sizes = {r["toxic"]: r["count"] for r in labelled.groupBy("toxic").count().collect()}
+def _sample(docs: DataFrame, labels: DataFrame, sample: int) -> tuple[dict[int, int], DataFrame]:
+    """Labelled documents by class, and (doc_id, toxic, text) of at most ``sample`` of each class.
+
+    Only ids are joined and drawn; the drawn ones, a bounded list, are broadcast to read their texts.
+    """
+    labels = labels.where("toxic in (0, 1) and doc_id is not null").groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
+    known = save(labels.join(docs.select("doc_id"), "doc_id", "left_semi"), "labelled")
+    sizes = {r["toxic"]: r["count"] for r in known.groupBy("toxic").count().collect()}
+    first = [known.where(F.col("toxic") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample) for y in (0, 1)]
+    drawn = first[0].unionByName(first[1])
+    texts = docs.select("doc_id", "text").join(F.broadcast(drawn), "doc_id")
+    return sizes, save(texts.groupBy("doc_id").agg(F.first("toxic").alias("toxic"), F.min("text").alias("text")), "sample")
+
+
+def fit(docs: DataFrame, labels: DataFrame | None = None, sample: int = 3000, features: int = 4096, least: int = 4) -> Model:
+    """A model from texts (doc_id, text) and labels (doc_id, toxic 0/1), by default columns of ``docs`` too."""
+    sizes, chosen = _sample(docs, docs if labels is None else labels, sample)
     if len(sizes) < 2:
         return Model(np.zeros(1 << BITS), 30.0 if 1 in sizes else -30.0)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000))
-    bound = F.when(F.col("toxic") == 1, F.lit(1_000_000 * sample // sizes[1])).otherwise(F.lit(1_000_000 * sample // sizes[0]))
-    chosen = labelled.where(draw < bound)
 
     counted = chosen.mapInArrow(_class_frequencies, "bucket long, clean long, toxic long").groupBy("bucket").agg(F.sum("clean").alias("clean"), F.sum("toxic").alias("toxic"))
     read = {y: min(n, sample) for y, n in sizes.items()}
