@@ -17,8 +17,8 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Fit on the labelled documents and drop what scores 0.3 or more."""
     prepare(spark)
     docs = docs.select(*COLUMNS)
-    learnt = docs.select("doc_id", "text").join(read_table(spark, sf_dir, "labels").select("doc_id", "toxic"), "doc_id")
-    return toxicity.keep_clean(docs, toxicity.fit(learnt), 0.3)
+    model = toxicity.fit(docs, read_table(spark, sf_dir, "labels"))
+    return toxicity.keep_clean(docs, model, 0.3)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
