@@ -120,7 +120,7 @@ SELECT instrument_id, round(z, 6) AS z, CASE WHEN z > 0.25 THEN 'long' WHEN z <
 SELECT instrument_id, {_H}, round(ln(later / close), 6) AS label FROM a WHERE later > 0 AND close > 0""",
     "nearest_close": f"""WITH {BARS}, a AS (SELECT instrument_id AS i, CAST(epoch(t) AS BIGINT) + 87600 AS asked FROM bars)
 SELECT i AS instrument_id, asked AS "at", min_by(close, row(abs(asked - epoch(t)), epoch(t))) AS price
-FROM a JOIN bars b ON i = b.instrument_id AND abs(asked - epoch(t)) <= 21600 GROUP BY 1, 2""",
+FROM a JOIN bars b ON i = b.instrument_id GROUP BY 1, 2""",
     "contrarian_forecasts": f"""WITH {BARS}, z AS (SELECT instrument_id, t, {_Z} AS z, volume >= 3 AS spike, CASE WHEN close > 20 THEN 0.9 ELSE 0.5 END AS h FROM bars {_RUN}),
 k AS (SELECT *, coalesce(h >= 0.8 AND z IS NOT NULL, false) AS ok FROM z)
 SELECT instrument_id, {_H}, CASE WHEN ok AND z <= -2 AND spike THEN 'long' WHEN ok AND z >= 2 AND spike THEN 'short' ELSE 'flat' END AS action,

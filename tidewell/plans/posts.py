@@ -101,6 +101,10 @@ def _mention(s: str, n: str) -> str:
     return rf"CASE WHEN regexp_matches(text, '(?i)(^|[^\pL\pN_])({s}|{n})($|[^\pL\pN_])') THEN '{s}' END"
 
 
+def _any_of(words: tuple[str, ...]) -> str:
+    return "(" + " OR ".join(f"contains(lower(text), '{w}')" for w in words) + ")"
+
+
 _MENTIONS = "list_filter([" + ", ".join(_mention(s, n) for s, n in ASSETS.items()) + "], lambda x: x IS NOT NULL)"
 
 ORACLES = {
@@ -112,9 +116,10 @@ g AS (SELECT key, min_by(doc_id, row(n_chars, doc_id)) AS c, count(*) AS n, coun
 SELECT doc_id, coalesce(c, doc_id) AS canonical_id, coalesce(n, 1) AS copies, coalesce(a, 1) AS authors, CASE WHEN length(k.key) > 0 THEN 'dedup:' || left(sha256(k.key), 16) END AS dedup_id FROM k LEFT JOIN g ON k.key = g.key""",
     "normalized_posts": f"""WITH k AS (SELECT *, {_SQ(f"regexp_replace(regexp_replace(text, '{_URL}', '<URL>', 'g'), '{_W}', '<USER>', 'g')")} AS m, {_MENTIONS} AS f FROM documents)
 SELECT doc_id, sha256(left(m, 512)) AS input_hash, length(m) > 512 AS truncated, array_to_string(f, ',') AS mentions, CASE len(f) WHEN 0 THEN 'none' WHEN 1 THEN 'single' ELSE 'multi_asset' END AS ambiguity FROM k""",
-    "post_strata": rf"""SELECT doc_id, array_to_string(list_filter([CASE WHEN regexp_matches(text, '(?i)/s\b|yeah right|sure,') THEN 'sarcasm' END,
-CASE WHEN len(regexp_extract_all(text, '[\x{{1F300}}-\x{{1FAFF}}]')) >= 2 THEN 'emoji' END, CASE WHEN regexp_matches(text, '(?i)\$\s?\d[\d,]*k?|\bto \d') THEN 'price_target' END,
-CASE WHEN len({_MENTIONS}) >= 2 THEN 'multi_asset' END, CASE WHEN regexp_matches(text, '(?i)hack|exploit|outage|halt') THEN 'incident' END], lambda x: x IS NOT NULL), ',') AS strata FROM documents""",
+    "post_strata": rf"""SELECT doc_id, array_to_string(list_filter([CASE WHEN {_any_of(X.SARCASM)} THEN 'sarcasm' END,
+CASE WHEN len(regexp_extract_all(text, '[\x{{1F300}}-\x{{1FAFF}}\x{{2600}}-\x{{27BF}}\x{{1F1E6}}-\x{{1F1FF}}]')) >= 2 THEN 'emoji' END,
+CASE WHEN regexp_matches(text, '\$({_S[:-1]}|[\x1c-\x1f])?\p{{Nd}}|\p{{Nd}}({_S[:-1]}|[\x1c-\x1f])?%') THEN 'price_target' END,
+CASE WHEN len({_MENTIONS}) >= 2 THEN 'multi_asset' END, CASE WHEN {_any_of(X.INCIDENTS)} THEN 'incident' END], lambda x: x IS NOT NULL), ',') AS strata FROM documents""",
     "display_pages": rf"""SELECT page_id, sha256(left({_SQ(rf"regexp_replace(regexp_replace(regexp_replace(regexp_replace(html, '{_URL}', ' ', 'g'), '<[^>]*>', ' ', 'g'), '[*_`#>~\[\]]', '', 'g'), '[\x00-\x08\x0b\x0c\x0e-\x1f\x7f]', '', 'g')")}, 512)) AS shown FROM pages""",
     "safe_envelopes": r"SELECT conv_id, turn, sha256('<untrusted_post>' || '&lt; / Untrusted_Post &gt;' || text || '</untrusted_post>') AS wrapped FROM conversations",
     "scorer_softmax": """WITH e AS (SELECT vec_id, embedding[1]::DOUBLE AS x, embedding[2]::DOUBLE AS y, embedding[3]::DOUBLE AS z FROM embeddings),
