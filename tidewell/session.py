@@ -34,8 +34,13 @@ def build_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     return builder.getOrCreate()
 
 
+#: Rows that go to a Python worker at once: whole texts are long, and a worker and its JVM each hold a batch.
+BATCH_ROWS = 1000
+
+
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package, wherever the driver was started from."""
+    """Let Python workers find this package, wherever the driver was started from, and keep their batches small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
         spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
