@@ -1,15 +1,21 @@
 """Exact BM25 top-k search: block-max WAND on shards of an inverted index, merged globally.
 
 Document frequencies, the number of documents and their mean length are counted over all documents
-first, so a shard's scores are the global ones and its top k can simply be merged with the others', first
-within a task.
-A shard is a slice of an Arrow batch of documents with its postings of the searched terms. A query of few terms
-walks its lists, in blocks with their highest contribution, in step; a document is only scored if the
-maxima of the lists, and then of the blocks, that reach it can still enter the top k. Over the terms of
-a whole text the maxima add up to bounds that hardly prune, so a longer query sums all its postings
-and scores the best sums again exactly. Ties are never pruned: equal scores are ordered by the smaller id.
+first, so a shard's scores are the global ones and its top k can simply be merged with the others'.
 
-Queries come in blocks of bounded (query, term) rows, each broadcast to one pass over the documents.
+Documents are met in waves, drawn by a hash of their ids: the first is about one shard, each later
+one has WAVE times the documents before it. After a wave the k best so far of every query are merged
+and their last (score, id) is the bar for the next wave: a shard prunes by it from its first document
+and returns only what beats it, about k * (WAVE - 1) rows a query and wave, however many shards there are.
+
+A shard is a slice of documents with its postings of the searched terms. A query of few terms walks
+its lists, in blocks with their highest contribution, in step; a document is only scored if the
+maxima of the lists, and then of the blocks, that reach it can still pass the bar. Over the terms of
+a whole text the maxima add up to bounds that hardly prune, so a longer query sums all its lists
+at once, and scores again exactly only what can pass the bar. Ties are never pruned: equal scores
+are ordered by the smaller id.
+
+Queries come in blocks of bounded (query, term) rows, each broadcast to its own waves.
 
 Words are lower-cased runs of letters and digits. Defined cases: rows with a null id are ignored; null
 and empty texts are documents of length 0 and match nothing; a query without known terms has no
@@ -28,15 +34,17 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
-from tidewell.llm.words import MARKS, U64, slices
+from tidewell.llm.words import MARKS, U64, slices, text_buffers
 from tidewell.scratch import save
 
 BLOCK = 64  # postings in a block
 ROWS = 4_000_000  # (query, term) rows in one broadcast
 WAND_TERMS = 16  # known terms up to which a query is searched by WAND
-SHARD = 4096  # documents in a shard
+SHARD = 10_000  # documents in a shard
+SHARD_BYTES = 64_000_000  # text of a shard, if it has several documents
+WAVE = 4  # growth of the documents met from wave to wave
 GROUP = 256  # queries whose sums over common terms are formed at once
-COMMON = 8  # a term is common in a shard if at least one in so many of its documents holds it
+COMMON = 16  # a term is common in a shard if at least one in so many of its documents holds it
 ROOM = 1e-3  # relative room for the error of sums in single precision
 
 
@@ -56,17 +64,39 @@ def _term_counts(words) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return owner[at], terms[at], np.diff(np.append(at, len(owner)))
 
 
-def _frequencies(batches):
-    """(term, df, tokens) of each batch; the row without a term counts documents and tokens."""
+def _shards(batches):
+    """The columns of runs of documents that are bounded in rows and in bytes of text, the last column."""
+    kept, rows, size = [], 0, 0
+
+    def joined():
+        return [pa.concat_arrays([b.column(i) for b in kept]) for i in range(kept[0].num_columns)]
+
     for batch in batches:
+        while batch.num_rows:
+            ends = text_buffers(batch.column(batch.num_columns - 1))[0]
+            fits = int(np.searchsorted(ends, ends[0] + SHARD_BYTES - size, "right")) - 1
+            taken = min(batch.num_rows, SHARD - rows, max(fits, 0 if kept else 1))
+            kept.append(batch.slice(0, taken))
+            rows, size = rows + taken, size + int(ends[taken] - ends[0])
+            batch = batch.slice(taken)
+            if batch.num_rows or rows == SHARD:
+                yield joined()
+                kept, rows, size = [], 0, 0
+    if kept:
+        yield joined()
+
+
+def _frequencies(batches):
+    """(term, df, tokens) of each shard; the row without a term counts documents and tokens."""
+    for (texts,) in _shards(batches):
         seen, tokens = [], 0
-        for words in _tokens(batch.column(0)):
+        for words in _tokens(texts):
             seen.append(_term_counts(words)[1])
             tokens += len(words.hashes)
         terms, counts = np.unique(np.concatenate(seen), return_counts=True) if seen else (np.zeros(0, U64), np.zeros(0, np.int64))
         del seen
         term = pa.concat_arrays([pa.array(terms.view(np.int64)), pa.nulls(1, pa.int64())])
-        yield pa.RecordBatch.from_arrays([term, pa.array(np.append(counts, batch.num_rows)), pa.array(np.append(np.zeros(len(terms), np.int64), tokens))], ["term", "df", "tokens"])
+        yield pa.RecordBatch.from_arrays([term, pa.array(np.append(counts, len(texts))), pa.array(np.append(np.zeros(len(terms), np.int64), tokens))], ["term", "df", "tokens"])
 
 
 def _query_terms(batches):
@@ -88,11 +118,13 @@ class Posting:
         self.top = max(self.block)
 
 
-def top_k(lists: list[Posting], ids: list, k: int) -> list[tuple[float, object]]:
-    """The k best (score, id) of a shard, in no order; ids[d] names document d of the postings."""
+def top_k(lists: list[Posting], ids: list, k: int, least: float = 0.0) -> list[tuple[float, object]]:
+    """The k best (score, id) of a shard, in no order; ids[d] names document d of the postings.
+
+    Documents that score less than ``least`` may be missing.
+    """
     slack = 1 + 1e-12
     heap: list[tuple[float, object]] = []
-    least = -1.0
     at = [0] * len(lists)
     live = sorted(range(len(lists)), key=lambda i: lists[i].docs[0])
     while live:
@@ -120,7 +152,7 @@ def top_k(lists: list[Posting], ids: list, k: int) -> list[tuple[float, object]]
                 elif entry > heap[0]:
                     heapq.heapreplace(heap, entry)
                 if len(heap) == k:
-                    least = heap[0][0]
+                    least = max(least, heap[0][0])
             else:  # no document before the nearest block end, or the next list, can enter
                 to = min(lists[i].ends[at[i] // BLOCK] for i in live[: pivot + 1]) + 1
                 if pivot + 1 < len(live):
@@ -160,22 +192,36 @@ class QueryBlock:
         self.terms, first, places = np.unique(np.concatenate([terms for _, terms, _ in rows]).view(U64), return_index=True, return_inverse=True)
         df = np.concatenate([n for _, _, n in rows])[first].astype(float)
         self.idf = np.log(1 + (documents - df + 0.5) / (df + 0.5))
-        self.seen = np.zeros(1 << 22, bool)
-        self.seen[self.terms >> U64(42)] = True
+        # terms are found by their first bits, of which few share the same
+        self.shift = U64(64 - max(8, len(self.terms).bit_length() + 2))
+        heads = np.arange((1 << (64 - int(self.shift))) + 1, dtype=np.int64)
+        self.heads = np.searchsorted((self.terms >> self.shift).astype(np.int64), heads).astype(np.int32)
         owner = np.repeat(np.arange(len(rows)), np.diff(self.starts))
         self.places = places[np.lexsort((places, owner))].astype(np.int32)
 
-    def search(self, ids: list, column: pa.Array, best: dict[int, list]):
-        """Merge the shard that these documents form into ``best``: of query i the k best (score, id) so far."""
+    def lookup(self, found: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which of the hashes are searched terms, and the places of these."""
+        head = (found >> self.shift).astype(np.int64)
+        at, end = self.heads[head], self.heads[head + 1]
+        open_ = np.flatnonzero(at < end)
+        place = np.full(len(found), -1, np.int32)
+        while len(open_):
+            here = at[open_]
+            equal = self.terms[here] == found[open_]
+            place[open_[equal]] = here[equal]
+            at[open_] += 1
+            open_ = open_[~equal & (here + 1 < end[open_])]
+        hit = np.flatnonzero(place >= 0)
+        return hit, place[hit].astype(np.int64)
+
+    def search(self, ids: list, column: pa.Array, best: dict[int, list], bars: dict[int, tuple]):
+        """Merge the shard that these documents form into ``best``: of query i the k best (score, id) so far that beat its bar."""
         docs, terms, counts, lengths = [], [], [], []
         for words in _tokens(column):
             lengths.append(np.diff(words.offsets))
-            near = self.seen[words.hashes >> U64(42)]
-            owner = np.repeat(np.arange(words.docs), lengths[-1])[near]
-            found = words.hashes[near]
-            at = np.searchsorted(self.terms, found)
-            hit = self.terms[np.minimum(at, len(self.terms) - 1)] == found
-            pairs, n = np.unique(at[hit] << 32 | (owner[hit] + words.first), return_counts=True)
+            hit, at = self.lookup(words.hashes)
+            owner = np.repeat(np.arange(words.docs), lengths[-1])[hit]
+            pairs, n = np.unique(at << 32 | (owner + words.first), return_counts=True)
             terms.append((pairs >> 32).astype(np.int32))
             docs.append((pairs & 0xFFFFFFFF).astype(np.int32))
             counts.append(n.astype(np.int32))
@@ -184,7 +230,7 @@ class QueryBlock:
         term, doc, tf, length = (np.concatenate(x) for x in (terms, docs, counts, lengths))
         if not len(term):
             return
-        del terms, docs, counts, words, near, owner, found, at, hit, pairs, n
+        del terms, docs, counts, words, owner, at, hit, pairs, n
         order = np.lexsort((doc, term))
         term, doc, tf = term[order], doc[order], tf[order].astype(float)
         value = self.idf[term] * tf * (self.k1 + 1) / (tf + self.k1 * (1 - self.b + self.b * length[doc] / self.mean))
@@ -193,14 +239,17 @@ class QueryBlock:
         for low in range(0, len(self.ids), GROUP):
             group = [self.places[self.starts[i] : self.starts[i + 1]] for i in range(low, min(low + GROUP, len(self.ids)))]
             sums = shard.common_sums(group)
-            for i, asked in enumerate(group):
-                before = best.get(low + i, [])
+            for i, asked in enumerate(group, low):
+                before, bar = best.get(i, []), bars.get(i)
+                least = max(before[-1][0] if len(before) >= self.k else 0.0, bar[0] if bar else 0.0)
                 if len(asked) <= WAND_TERMS:
-                    found = top_k([shard.posting(t) for t in asked.tolist() if shard.sizes[t]], ids, self.k)
+                    found = top_k(shard.lists(asked, least), ids, self.k, least)
                 else:
-                    found = shard.best(asked, sums[i], ids, self.k, before[-1][0] if len(before) >= self.k else 0.0)
+                    found = shard.best(asked, sums[i - low], ids, self.k, least)
+                if bar:
+                    found = [x for x in found if x[0] > bar[0] or (x[0] == bar[0] and x[1] < bar[1])]
                 if found:
-                    best[low + i] = sorted(before + found, key=lambda x: (-x[0], x[1]))[: self.k]
+                    best[i] = sorted(before + found, key=lambda x: (-x[0], x[1]))[: self.k]
 
 
 class Shard:
@@ -211,7 +260,7 @@ class Shard:
     """
 
     def __init__(self, term: np.ndarray, doc: np.ndarray, value: np.ndarray, docs: int, terms: int):
-        self.doc, self.value, self.docs = doc, value, docs
+        self.doc, self.value, self.docs = doc.astype(np.intp), value, docs
         self.sizes = np.bincount(term, minlength=terms)
         self.starts = np.cumsum(self.sizes) - self.sizes
         common = np.flatnonzero(self.sizes * COMMON >= docs)
@@ -222,9 +271,11 @@ class Shard:
         self.matrix[self.row[term[held]], doc[held]] = value[held]
         order = np.argsort(doc, kind="stable")  # of one document, by term
         self.term_of, self.value_of = term[order], value[order]
-        self.doc_starts = np.append(0, np.cumsum(np.bincount(doc, minlength=docs)))
+        self.doc_sizes = np.bincount(doc, minlength=docs)
+        self.doc_starts = np.cumsum(self.doc_sizes) - self.doc_sizes
         self.asked = np.zeros(terms, bool)
         self.postings: dict[int, Posting] = {}
+        self.maxima: dict[int, np.ndarray] = {}
 
     def posting(self, t: int) -> Posting:
         if t not in self.postings:
@@ -232,6 +283,30 @@ class Shard:
             self.postings[t] = Posting(self.doc[part], self.value[part])
         return self.postings[t]
 
+    def block_maxima(self, t: int) -> np.ndarray:
+        """A term's highest contribution in each block of BLOCK neighbouring documents."""
+        if t not in self.maxima:
+            part = slice(self.starts[t], self.starts[t] + self.sizes[t])
+            block = self.doc[part] // BLOCK
+            at = np.flatnonzero(np.append(True, block[1:] != block[:-1]))
+            self.maxima[t] = np.zeros(self.docs // BLOCK + 1)
+            self.maxima[t][block[at]] = np.maximum.reduceat(self.value[part], at)
+        return self.maxima[t]
+
+    def lists(self, asked: np.ndarray, least: float) -> list[Posting]:
+        """Lists to walk for the terms asked, without the blocks of documents whose maxima stay below ``least``."""
+        terms = [t for t in asked.tolist() if self.sizes[t]]
+        if not least or not terms:
+            return [self.posting(t) for t in terms]
+        alive = sum(self.block_maxima(t) for t in terms) * (1 + 1e-12) >= least
+        found = []
+        for t in terms:
+            part = slice(self.starts[t], self.starts[t] + self.sizes[t])
+            keep = alive[self.doc[part] // BLOCK]
+            if keep.any():
+                found.append(Posting(self.doc[part][keep], self.value[part][keep]))
+        return found
+
     def common_sums(self, group: list[np.ndarray]) -> np.ndarray:
         weights = np.zeros((len(group), len(self.matrix)), np.float32)
         for i, asked in enumerate(group):
@@ -239,18 +314,24 @@ class Shard:
             weights[i, row[row >= 0]] = 1
         return weights @ self.matrix
 
+    def add(self, terms: np.ndarray) -> np.ndarray:
+        """The sum of these terms' lists, by document."""
+        if not len(terms):
+            return np.zeros(self.docs)
+        lists = [slice(a, b) for a, b in zip(self.starts[terms].tolist(), (self.starts[terms] + self.sizes[terms]).tolist(), strict=True)]
+        return np.bincount(np.concatenate([self.doc[x] for x in lists]), np.concatenate([self.value[x] for x in lists]), self.docs)
+
     def best(self, asked: np.ndarray, sums: np.ndarray, ids: list, k: int, least: float) -> list[tuple[float, object]]:
         """The k best (score, id) of at least ``least`` by all the terms ``asked``; ``sums`` holds the common ones' share."""
-        rare = asked[self.row[asked] < 0]
-        flat = _ranges(self.starts[rare], self.sizes[rare])
-        near = sums + np.bincount(self.doc[flat], self.value[flat], self.docs)
-        found = np.flatnonzero((near >= least * (1 - ROOM)) & (near > 0))
+        rare = asked[(self.row[asked] < 0) & (self.sizes[asked] > 0)]
+        near = sums + self.add(rare)
+        found = np.flatnonzero(near >= least * (1 - ROOM)) if least else np.flatnonzero(near)
         if len(found) > k:
             found = found[near[found] >= np.partition(near[found], -k)[-k] * (1 - ROOM)]
         if not len(found):
             return []
         # in double precision, always added in the order of the terms: equal documents have equal scores
-        lengths = np.diff(self.doc_starts)[found]
+        lengths = self.doc_sizes[found]
         flat = _ranges(self.doc_starts[found], lengths)
         self.asked[asked] = True
         hit = self.asked[self.term_of[flat]]
@@ -279,16 +360,33 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     schema = f"query_id {kinds[1]}, doc_id {kinds[0]}, score double"
     counted = docs.select("text").mapInArrow(_frequencies, "term long, df long, tokens long")
     frequencies = save(counted.groupBy("term").agg(F.sum("df").alias("df"), F.sum("tokens").alias("tokens")), "frequencies")
-    documents, tokens = frequencies.where("term is null").agg(F.max("df"), F.max("tokens")).first()
+    documents, tokens = (n or 0 for n in frequencies.where("term is null").agg(F.max("df"), F.max("tokens")).first())
     asked = queries.mapInArrow(_query_terms, f"query_id {kinds[1]}, term long").join(frequencies.select("term", "df"), "term")
     asked = save(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("x")).select("query_id", "x.term", "x.df"), "asked")
+    every = max(1, -(-documents // SHARD))  # the first wave is one document of so many
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(every))
     result = spark.createDataFrame([], schema)
     for rows in _blocks(asked):
         block = spark.sparkContext.broadcast(QueryBlock(rows, documents, tokens / max(documents, 1), k, k1, b))
-        result = result.unionByName(docs.mapInArrow(_scan(block, to_arrow_type(queries.schema["query_id"].dataType)), schema))
+        best, bars, met = None, {}, 0
+        while met < every:
+            upto = min(every, met * WAVE or 1)
+            wave = docs.where((place >= met) & (place < upto))
+            wave = wave.coalesce(1) if not met else wave  # one shard
+            shared = spark.sparkContext.broadcast(bars)
+            found = wave.mapInArrow(_scan(block, shared, to_arrow_type(queries.schema["query_id"].dataType)), schema)
+            best = save(_ranked(found if best is None else best.drop("rank").unionByName(found), k), "best")
+            met = upto
+            if met < every:
+                at = {query: i for i, (query, _, _) in enumerate(rows)}
+                bars = {at[r["query_id"]]: (r["score"], r["doc_id"]) for r in best.where(F.col("rank") == k).toLocalIterator()}
+        result = result.unionByName(best.drop("rank"))
+    return _ranked(result, k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+
+
+def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
-    ranked = result.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
+    return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
 
 
 def _blocks(asked: DataFrame):
@@ -304,15 +402,13 @@ def _blocks(asked: DataFrame):
         yield rows
 
 
-def _scan(block, queries: pa.DataType):
+def _scan(block, bars, queries: pa.DataType):
     def run(batches):
         known: QueryBlock = block.value
         best, kind = {}, pa.null()
-        for batch in batches:
-            kind = batch.schema.field(0).type
-            for low in range(0, batch.num_rows, SHARD):
-                part = batch.slice(low, SHARD)
-                known.search(part.column(0).to_pylist(), part.column(1), best)
+        for ids, texts in _shards(batches):
+            kind = ids.type
+            known.search(ids.to_pylist(), texts, best, bars.value)
         found = [(known.ids[i], doc, score) for i, rows in best.items() for score, doc in rows]
         for low in range(0, len(found), 10_000):
             query, doc, score = zip(*found[low : low + 10_000], strict=True)
