@@ -5,7 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions.text import uuid5
 from tidewell.graph import components
+from tidewell.scratch import save
+
+
+#: The namespace of order ids, and what the momentum baseline's scores have meant (low, high, rate of gains).
+INTENTS = "6f1e2a2e-6b8b-4a2a-9d2e-3a2b6c1d9e10"
+BASELINE = "ts_momentum_baseline"
+BASELINE_BUCKETS = ((-10.0, -0.75, 0.44), (-0.75, -0.25, 0.47), (-0.25, 0.25, 0.50), (0.25, 0.75, 0.53), (0.75, 10.0, 0.56))
 
 
 def calibrate(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, shrinkage: float = 0.0) -> DataFrame:
@@ -30,13 +38,23 @@ def calibrate(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, shri
 def similar_pairs(members: DataFrame, key: str, node: str, evidence: str, over: float = 0.5) -> DataFrame:
     """(key, a, b, jaccard) of members of a key that share evidence beyond a Jaccard index.
 
-    Pairs come from an inverted index on the evidence, never from a product of all members.
+    A prefix filter finds the pairs: with the items of a set ordered by how rare they are, two sets
+    beyond the index share one of the first n - ceil(over * n) + 1 of either, so only those meet by
+    an equi-join and common items hardly ever do. The whole sets of such pairs are then compared.
+    ``members`` has one row for each member of a key; an empty or NULL set is like none.
     """
-    items = members.select(key, node, F.explode(F.array_distinct(evidence)).alias("item"), F.size(F.array_distinct(evidence)).alias("n"))
-    left = items.toDF(key, "a", "item", "na")
-    right = items.toDF(key, "b", "item", "nb")
-    met = left.join(right, [key, "item"]).where("a < b").groupBy(key, "a", "b", "na", "nb").agg(F.count("*").alias("both"))
-    return met.withColumn("jaccard", F.col("both") / (F.col("na") + F.col("nb") - F.col("both"))).where(F.col("jaccard") > over).select(key, "a", "b", "jaccard")
+    items = F.array_distinct(F.array_compact(evidence))
+    sets = save(members.select(F.col(key).alias("key"), F.col(node).alias("node"), items.alias("items"), F.size(items).alias("n")).where("n > 0"), "evidence")
+    single = sets.select("key", "node", F.explode("items").alias("item"))
+    met = single.join(single.groupBy("key", "item").agg(F.count("*").alias("rows")), ["key", "item"])
+    ordered = met.groupBy("key", "node").agg(F.array_sort(F.collect_list(F.struct("rows", "item"))).alias("items"), F.count("*").alias("n"))
+    first = F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * over - 1e-9) + 1).cast("int"))
+    heads = save(ordered.select("key", "node", "n", F.explode(first).alias("x")).select("key", "node", "n", F.col("x.item").alias("item")), "heads")
+    left, right = heads.toDF("key", "a", "na", "item"), heads.toDF("key", "b", "nb", "item")
+    near = left.join(right, ["key", "item"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * over)).select("key", "a", "b").distinct()
+    whole = near.join(sets.toDF("key", "a", "xa", "na"), ["key", "a"]).join(sets.toDF("key", "b", "xb", "nb"), ["key", "b"])
+    both = F.size(F.array_intersect("xa", "xb"))
+    return whole.withColumn("jaccard", both / (F.col("na") + F.col("nb") - both)).where(F.col("jaccard") > over).select(F.col("key").alias(key), "a", "b", "jaccard")
 
 
 def cluster(members: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -61,6 +79,11 @@ def covariance(vols: DataFrame, correlation: float, shrink: float = 0.0) -> Data
     return a.join(b, "book").select("book", "a", "b", F.when(F.col("a") == F.col("b"), F.col("va") * F.col("vb")).otherwise((1 - shrink) * correlation * F.col("va") * F.col("vb")).alias("cov"))
 
 
+def crash_covariance(vols: DataFrame, correlation: float) -> DataFrame:
+    """The covariance with every correlation forced to one value, for exposure and stress checks; sizing uses ``covariance``."""
+    return covariance(vols, correlation, 0.0)
+
+
 def size_positions(market: DataFrame, correlation: float, shrink: float, target_pct: float, equity: float, single_pct: float, gross_pct: float, net_pct: float) -> DataFrame:
     """(book, instrument_id, notional) from (book, instrument_id, vol, edge).
 
@@ -103,3 +126,55 @@ def effect(current: Column, target: Column) -> Column:
         F.when((target == 0) & (current != 0), "close").when((current == 0) | (F.signum(current) != F.signum(target)), "open")
         .when(F.abs(target) > F.abs(current), "increase").when(F.abs(target) < F.abs(current), "reduce").otherwise("open")
     )
+
+
+def order_intents(targets: DataFrame, equity: float, single_pct: float, order_pct: float, atr_multiple: float = 1.0, hours: int = 4) -> DataFrame:
+    """Orders that move each book from its current to its target notional.
+
+    ``targets`` is (decision_id, instrument_id, created_at, target, current, price, atr, lot). The
+    target is rounded to lots and capped, the difference to the current notional traded in whole lots;
+    where that is nothing there is no order. Opening orders get a stop ``atr_multiple`` ranges away.
+    """
+    wanted = recap(to_lots(F.col("target"), F.col("price"), F.col("lot")), F.col("price"), F.col("lot"), equity, single_pct, order_pct)
+    moved = targets.withColumn("wanted", wanted * F.col("price")).withColumn("change", F.col("wanted") - F.col("current"))
+    moved = moved.withColumn("quantity", F.abs(to_lots(F.col("change"), F.col("price"), F.col("lot")))).where("change <> 0 and quantity <> 0")
+    side = F.when(F.col("change") > 0, "buy").otherwise("sell")
+    away = F.col("atr") * atr_multiple * F.when(side == "buy", -1).otherwise(1)
+    done = effect(F.col("current"), F.col("wanted"))
+    unit = F.split_part(F.split_part("instrument_id", F.lit("-"), F.lit(1)), F.lit("/"), F.lit(1))
+    name = F.concat_ws(":", F.col("decision_id").cast("string"), "instrument_id", side)
+    return moved.select(
+        uuid5(INTENTS, name).alias("intent_id"), "decision_id", "instrument_id", "created_at", (F.col("created_at") + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"), side.alias("side"), done.alias("effect"), "quantity",
+        unit.alias("quantity_unit"), F.col("price").alias("limit_price"), F.when(done == "open", F.col("price") + away).alias("stop_price"), done.isin("reduce", "close").alias("reduce_only"),
+    )
+
+
+def track_records(advisors: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(records, buckets) for ``calibrate``: the baseline at full weight, provisional advisors that are enabled at their own reliability.
+
+    ``advisors`` is (advisor_id, status, enabled, provisional_reliability).
+    """
+    own = advisors.where("status = 'provisional' and enabled").select("advisor_id", F.coalesce("provisional_reliability", F.lit(0.0)).alias("reliability"), F.lit(1).alias("samples"), F.lit(1).alias("least_samples"))
+    base = advisors.sparkSession.createDataFrame([(BASELINE, 1.0, 200, 200)], "advisor_id string, reliability double, samples int, least_samples int")
+    records = base.unionByName(own.where(F.col("advisor_id") != BASELINE))
+    table = F.array(*[F.struct(F.lit(i).alias("place"), F.lit(a).alias("low"), F.lit(b).alias("high"), F.lit(r).alias("rate")) for i, (a, b, r) in enumerate(BASELINE_BUCKETS)])
+    return records, records.select("advisor_id", F.inline(table))
+
+
+def run_cycle(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, market: DataFrame, *, equity: float, target_pct: float, caps: tuple[float, float, float, float], multiple: float, shrinkage: float = 0.0, correlation: float = 0.5, shrink: float = 0.2, atr_multiple: float = 1.0) -> DataFrame:
+    """Orders of a decision, from its forecasts to ``order_intents``.
+
+    ``forecasts`` as in ``calibrate`` with evidence arrays; ``market`` (book, decision_id, created_at,
+    instrument_id, vol, price, atr, lot, current, cost_bps); ``caps`` single, gross, net and order per cent of equity.
+    Forecasts of an instrument that share most of their evidence count as one.
+    """
+    single, gross, net, order = caps
+    calibrated = save(calibrate(forecasts, records, buckets, shrinkage), "calibrated")
+    evidence = forecasts.select("instrument_id", "signal_id", "evidence")
+    clusters = cluster(evidence.select("signal_id"), similar_pairs(evidence, "instrument_id", "signal_id", "evidence", 0.5), "signal_id")
+    merged = merge_clusters(calibrated.join(clusters, "signal_id"))
+    edges = merged.groupBy("instrument_id").agg(F.sum(F.col("weight") * F.col("excess")).alias("edge"))
+    rows = market.join(edges, "instrument_id", "left")
+    sized = size_positions(rows.select("book", "instrument_id", "vol", "edge"), correlation, shrink, target_pct, equity, single, gross, net)
+    kept = market.join(sized, ["book", "instrument_id"]).withColumn("target", keep_if_costly(F.col("notional"), F.col("current"), F.col("cost_bps"), multiple))
+    return order_intents(kept, equity, single, order, atr_multiple)
