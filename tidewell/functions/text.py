@@ -142,7 +142,7 @@ def strata(text: Column, assets: int | Column) -> Column:
 
 
 def percent(value: Column) -> Column:
-    return F.coalesce(F.format_string("%.1f%%", value * 100), F.lit("n/a"))
+    return F.when(value.isNotNull(), F.format_string("%.1f%%", value * 100)).otherwise("n/a")
 
 
 def token_cost(tokens_in: Column, tokens_out: Column, price_in: Column, price_out: Column) -> Column:

@@ -60,6 +60,26 @@ def covariances(spark, d):
     return P.covariance(_market(spark, d).select("book", "instrument_id", "vol"), 0.5, 0.2).select("book", "a", "b", F.round("cov", 8).alias("cov"))
 
 
+def _targets(spark, d):
+    c = read_table(spark, d, "customer").groupBy(F.col("c_nationkey").alias("n_nationkey")).agg(F.sum("c_acctbal").alias("balance"))
+    k, n = F.col("n_nationkey"), read_table(spark, d, "nation")
+    created = F.lit("2026-01-01 00:00:00").cast("timestamp")
+    return n.join(c, "n_nationkey").select(
+        F.col("n_regionkey").cast("string").alias("decision_id"), F.concat("n_name", F.lit("-PERP")).alias("instrument_id"), created.alias("created_at"), (F.col("balance") - 4500 * (k % 3)).alias("target"),
+        ((k % 5 - 2) * 1000).cast("double").alias("current"), (50 + k * 7.5).alias("price"), (1 + k / 10).alias("atr"), F.lit(0.5).alias("lot"),
+    )
+
+
+def order_intents(spark, d):
+    """Nations as instruments whose customers' balances are the target; regions decide."""
+    found = P.order_intents(_targets(spark, d), 50_000, 20, 10, 1.5)
+    return found.select("intent_id", "decision_id", "instrument_id", F.unix_timestamp("expires_at").alias("expires"), "side", "effect", F.round("quantity", 4).alias("quantity"), "quantity_unit", F.round("limit_price", 4).alias("limit_price"), F.round("stop_price", 4).alias("stop_price"), "reduce_only")
+
+
+def crash_covariances(spark, d):
+    return P.crash_covariance(_market(spark, d).select("book", "instrument_id", "vol"), 0.9).select("book", "a", "b", F.round("cov", 8).alias("cov"))
+
+
 def order_effects(spark, d):
     """Rounded targets against the running position of each part."""
     l = read_table(spark, d, "lineitem")  # noqa: E741
@@ -79,12 +99,35 @@ def book_fills(spark, d):
     return K.walk_book(levels, orders, 4.5, 20_000).select("book", "filled", *[F.round(c, 3).alias(c) for c in ("vwap", "slippage_bps", "fee")], "partial", "rejected")
 
 
+LIMITS = {
+    "max_leverage": 1, "min_stop_distance_atr": 0.5, "max_stop_distance_atr": 3, "max_orders_per_hour": 11,
+    "max_gross_exposure_pct": 85, "max_net_directional_pct": 30, "max_single_position_pct": 20, "max_order_size_pct_equity": 12,
+}
+
+
+def _intents(spark, d):
+    """Orders as intents in a book that their customers stand for."""
+    o, c = read_table(spark, d, "orders"), F.col("o_custkey")
+    effect = F.when(F.col("o_orderstatus") == "P", "reduce").when(c % 3 == 0, "increase").otherwise("open")
+    return o.select(
+        F.col("o_orderkey").alias("intent_id"), effect.alias("effect"), F.when(F.col("o_orderkey") % 2 == 0, "buy").otherwise("sell").alias("side"), (F.col("o_totalprice") / 317).alias("quantity"), F.when(c % 7 == 0, K.USD).otherwise("lots").alias("quantity_unit"),
+        (100 + c % 50).cast("double").alias("mark_price"), F.when(c % 97 != 0, 1_000_000.0).otherwise(0.0).alias("equity"), F.when(c % 89 != 0, 2.0).otherwise(0.0).alias("atr"), F.when(c % 4 != 0, 100.0).alias("limit_price"), F.when(effect == "open", 95.0 + c % 11).alias("stop_price"),
+        (F.col("o_orderdate") + F.expr("interval 4 hours")).alias("expires_at"), (F.col("o_orderdate") + F.make_dt_interval(hours=(c % 6).cast("int"))).alias("now"), F.when(c % 17 == 0, "SOFT").otherwise("NORMAL").alias("halt_state"), (c % 13).alias("hour_orders"),
+        (c % 90).cast("double").alias("gross_pct"), (c % 61 - 30).cast("double").alias("net_pct"), (c % 15).cast("double").alias("position_pct"),
+    )
+
+
 def risk_verdicts(spark, d):
-    o = read_table(spark, d, "orders").select("o_orderkey", "o_totalprice", "o_orderstatus", (F.col("o_custkey") % 13).alias("hour_orders"))
-    checks = K.hard_checks({"orders_per_hour": F.col("hour_orders"), "cap_single": F.col("o_totalprice"), "cap_gross": F.col("o_totalprice") * 2}, {"orders_per_hour": 10, "cap_single": 300000, "cap_gross": 700000})
-    effect = F.when(F.col("o_orderstatus") == "P", "reduce").otherwise("open")
-    failed = F.array_join(F.transform(F.filter(checks, lambda c: ~c["passed"]), lambda c: c["check_id"]), ",")
-    return o.select("o_orderkey", K.verdict(effect, checks, F.lit(300000.0), F.col("o_totalprice")).alias("verdict"), failed.alias("failed"))
+    """All mechanical, halt, rate and exposure checks of every intent, and what they come to."""
+    found = K.evaluate(_intents(spark, d), LIMITS)
+    return found.select("intent_id", "verdict", F.round("approved_quantity", 6).alias("approved_quantity"), F.array_join("reason_codes", ",").alias("codes"), F.size("checks").alias("checks"), *[F.round(n, 6).alias(n) for n in ("order_pct", "gross_after", "net_after", "position_after")])
+
+
+def resized_protection(spark, d):
+    """Line items as fills of protective orders of 30 lots."""
+    orders = read_table(spark, d, "orders").select(F.col("o_orderkey").alias("order_id"), F.lit(30.0).alias("quantity"), F.col("o_orderstatus").alias("status"))
+    fills = read_table(spark, d, "lineitem").where("l_linenumber = 1").groupBy(F.col("l_orderkey").alias("order_id")).agg(F.min(F.col("l_quantity") - 1).alias("filled"))
+    return K.resize_protection(orders, fills)
 
 
 def stress_losses(spark, d):
@@ -96,7 +139,8 @@ def stress_losses(spark, d):
 def halt_history(spark, d):
     e = read_table(spark, d, "events").groupBy(F.col("event_type").alias("account"), F.to_date("ts").alias("day")).agg(F.avg("value").alias("v"))
     days = e.select("account", F.unix_date("day").alias("day"), (F.col("v") - 55).alias("daily"), (F.col("v") - 60).alias("weekly"), (F.col("v") - 65).alias("drawdown"))
-    return K.halt_states(days, 5, 12, 20, 28)
+    lifted = days.where("day % 5 = 0").select("account", "day", F.lit("human_restart").alias("action")).unionByName(days.where("day % 13 = 0").select("account", "day", F.lit("manual_reset").alias("action")))
+    return K.halt_states(days, 5, 12, 20, 28, lifted)
 
 
 def uncovered_positions(spark, d):
@@ -176,7 +220,7 @@ def hourly_live(spark, d):
 
 
 QUERIES = {f.__name__: f for f in (
-    calibrated_forecasts, net_edges, supplier_overlap, supplier_clusters, position_sizes, covariances, order_effects, book_fills, risk_verdicts, stress_losses, halt_history, uncovered_positions,
+    calibrated_forecasts, net_edges, supplier_overlap, supplier_clusters, position_sizes, covariances, crash_covariances, order_intents, order_effects, book_fills, risk_verdicts, resized_protection, stress_losses, halt_history, uncovered_positions,
     position_mismatches, bad_transitions, claimed_once, reservations, call_reservations, pending_outcomes, latest_ties, monthly_spend, spend_rollup, last_orders, order_page, tagged_history, hourly_live,
 )}
 
@@ -207,12 +251,45 @@ round(CASE WHEN abs(lots) * 7 <= 1000 THEN lots ELSE sign(lots) * floor(1000 / 7
 b AS (SELECT *, coalesce(sum(size) OVER (PARTITION BY book ORDER BY place ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before, book % 400 + 50 AS q FROM l), t AS (SELECT *, greatest(0, least(size, q - before)) AS take FROM b),
 g AS (SELECT book, q, sum(take) AS filled, sum(take * price) AS cost, min_by(price, place) AS top FROM t GROUP BY 1, 2)
 SELECT book, filled, round(cost / filled, 3) AS vwap, round(abs(cost / filled - top) / top * 10000, 3) AS slippage_bps, round(cost * 4.5 / 10000, 3) AS fee, filled < q AS partial, abs(cost / filled - top) / top * 10000 > 20000 AS rejected FROM g""",
-    "risk_verdicts": """WITH o AS (SELECT o_orderkey, o_orderstatus, o_totalprice AS x, o_custkey % 13 > 10 AS h, o_totalprice > 300000 AS s, o_totalprice * 2 > 700000 AS g FROM orders)
-SELECT o_orderkey, CASE WHEN o_orderstatus = 'P' THEN 'approve' WHEN h THEN 'reject' WHEN NOT s AND NOT g THEN 'approve' WHEN 300000 < x THEN 'approve_reduced' ELSE 'approve' END AS verdict, concat_ws(',', CASE WHEN h THEN 'orders_per_hour' END, CASE WHEN s THEN 'cap_single' END, CASE WHEN g THEN 'cap_gross' END) AS failed FROM o""",
+    "risk_verdicts": f"""WITH i AS (SELECT o_orderkey AS intent_id, CASE WHEN o_orderstatus = 'P' THEN 'reduce' WHEN o_custkey % 3 = 0 THEN 'increase' ELSE 'open' END AS effect, CASE WHEN o_orderkey % 2 = 0 THEN 1 ELSE -1 END AS sign, o_totalprice / 317 AS q,
+o_custkey % 7 = 0 AS usd, (100 + o_custkey % 50)::DOUBLE AS mark, CASE WHEN o_custkey % 97 <> 0 THEN 1e6 ELSE 0 END::DOUBLE AS equity, CASE WHEN o_custkey % 89 <> 0 THEN 2 ELSE 0 END::DOUBLE AS atr, CASE WHEN o_custkey % 4 <> 0 THEN 100.0::DOUBLE END AS lim, 95.0::DOUBLE + o_custkey % 11 AS stop0,
+o_custkey % 6 AS h, o_custkey % 17 = 0 AS halted, o_custkey % 13 AS n, o_custkey % 90 AS g0, o_custkey % 61 - 30 AS n0, o_custkey % 15 AS p0 FROM orders),
+x AS (SELECT *, CASE WHEN effect = 'open' THEN stop0 END AS stop, CASE WHEN equity = 0 THEN 0 ELSE CASE WHEN usd THEN q ELSE q * mark END / equity * 100 END::DOUBLE AS pct FROM i),
+y AS (SELECT *, g0 + pct AS g1, n0 + sign * pct AS n1, p0 + pct AS p1, CASE WHEN atr = 0 THEN 0 ELSE abs(coalesce(lim, mark) - stop) / atr END AS dist, CASE WHEN equity > 0 THEN CASE WHEN usd THEN 100 ELSE mark * 100 END / equity END AS unit,
+least(85 - g0, 20 - p0, 12, 30 - sign * n0) AS room FROM x),
+f AS (SELECT *, list_filter([CASE WHEN h >= 4 THEN 'expiry_not_passed' END, CASE WHEN stop IS NOT NULL AND NOT dist BETWEEN 0.5 AND 3 THEN 'stop_distance_atr' END], lambda c: c IS NOT NULL) AS mech,
+list_filter([CASE WHEN halted THEN 'halt_gate' END, CASE WHEN n >= 11 THEN 'max_orders_per_hour' END], lambda c: c IS NOT NULL) AS gates,
+list_filter([CASE WHEN g1 > 85 THEN 'max_gross_exposure_pct' END, CASE WHEN abs(n1) > 30 THEN 'max_net_directional_pct' END, CASE WHEN p1 > 20 THEN 'max_single_position_pct' END, CASE WHEN pct > 12 THEN 'max_order_size_pct_equity' END], lambda c: c IS NOT NULL) AS caps,
+least(CASE WHEN unit > 0 AND room > 0 THEN room / unit ELSE 0 END, q) AS most FROM y),
+v AS (SELECT *, CASE WHEN effect = 'reduce' THEN CASE WHEN len(mech) = 0 THEN 'approve' ELSE 'reject' END WHEN len(mech) + len(gates) + len(caps) = 0 THEN 'approve' WHEN len(mech) + len(gates) > 0 OR most <= 0 THEN 'reject' ELSE 'approve_reduced' END AS verdict FROM f)
+SELECT intent_id, verdict, round(CASE verdict WHEN 'approve' THEN q WHEN 'approve_reduced' THEN most ELSE 0 END, 6) AS approved_quantity, CASE WHEN effect = 'reduce' THEN array_to_string(list_concat(['reduce_close_bypasses_exposure_caps'], mech), ',')
+ELSE array_to_string(list_concat(mech, gates, caps, CASE WHEN verdict = 'approve_reduced' THEN ['quantity_shrunk_to_pass_caps'] ELSE [] END), ',') END AS codes,
+(CASE WHEN stop IS NULL THEN 2 ELSE 3 END + CASE WHEN effect = 'reduce' THEN 0 ELSE 6 END)::INT AS checks, round(pct, 6) AS order_pct, round(g1, 6) AS gross_after, round(n1, 6) AS net_after, round(p1, 6) AS position_after FROM v""",
+    "resized_protection": """WITH f AS (SELECT l_orderkey AS order_id, min(l_quantity - 1) AS q FROM lineitem WHERE l_linenumber = 1 GROUP BY 1)
+SELECT o_orderkey AS order_id, CASE WHEN q > 0 AND q <= 30 THEN q ELSE 30 END AS quantity, o_orderstatus AS status, q > 0 AND q <= 30 AS resized FROM orders JOIN f ON o_orderkey = order_id""",
+    "crash_covariances": f"WITH {_MK} SELECT x.book, x.instrument_id AS a, y.instrument_id AS b, round(x.vol * y.vol * CASE WHEN x.instrument_id = y.instrument_id THEN 1 ELSE 0.9::DOUBLE END, 8) AS cov FROM m x JOIN m y ON x.book = y.book",
+    "order_intents": f"""WITH c AS (SELECT c_nationkey AS k, sum(c_acctbal) AS b FROM customer GROUP BY 1), t AS (SELECT n_regionkey::VARCHAR AS d, n_name || '-PERP' AS i, n_name AS unit, b - 4500 * (k % 3) AS target, (k % 5 - 2) * 1000.0::DOUBLE AS cur, 50 + k * 7.5::DOUBLE AS price, 1 + k / 10.0::DOUBLE AS atr FROM nation JOIN c ON k = n_nationkey),
+r AS (SELECT *, sign(target) * floor(abs(target) / price / 0.5::DOUBLE) * 0.5::DOUBLE AS q FROM t), w AS (SELECT *, CASE WHEN abs(q) * price <= 5000 THEN q ELSE sign(q) * floor(5000 / price / 0.5::DOUBLE) * 0.5::DOUBLE END * price AS wanted FROM r),
+x AS (SELECT *, wanted - cur AS delta, floor(abs(wanted - cur) / price / 0.5::DOUBLE) * 0.5::DOUBLE AS quantity FROM w), e AS (SELECT *, CASE WHEN delta > 0 THEN 'buy' ELSE 'sell' END AS side,
+CASE WHEN wanted = 0 AND cur <> 0 THEN 'close' WHEN cur = 0 OR sign(cur) <> sign(wanted) THEN 'open' WHEN abs(wanted) > abs(cur) THEN 'increase' WHEN abs(wanted) < abs(cur) THEN 'reduce' ELSE 'open' END AS effect FROM x WHERE delta <> 0 AND quantity <> 0),
+n AS (SELECT *, sha1(unhex('{P.INTENTS.replace("-", "")}') || encode(d || ':' || i || ':' || side)) AS x FROM e),
+s AS (SELECT *, x[1:8] || '-' || x[9:12] || '-5' || x[14:16] || '-' || substr('89ab89ab89ab89ab', strpos('0123456789abcdef', x[17]), 1) || x[18:20] || '-' || x[21:32] AS intent_id FROM n)
+SELECT intent_id, d AS decision_id, i AS instrument_id, epoch(TIMESTAMP '2026-01-01 04:00:00')::BIGINT AS expires, side, effect, round(quantity, 4) AS quantity, unit AS quantity_unit, round(price, 4) AS limit_price,
+round(CASE WHEN effect = 'open' THEN price + 1.5::DOUBLE * atr * CASE side WHEN 'buy' THEN -1 ELSE 1 END END, 4) AS stop_price, effect IN ('reduce', 'close') AS reduce_only FROM s""",
     "stress_losses": """WITH c AS (SELECT c_nationkey AS book, sum(abs(c_acctbal)) AS g, sum(c_acctbal) AS n FROM customer GROUP BY 1), s AS (SELECT book, 'gap_down' AS name, abs(n * 0.15) AS loss FROM c UNION ALL SELECT book, 'funding_spike', g * 0.02 FROM c UNION ALL SELECT book, 'venue_outage', g * 0.05 * 2 FROM c)
 SELECT book, name, round(loss, 4) AS loss, loss <= 50000 AS within FROM s""",
-    "halt_history": """WITH e AS (SELECT event_type AS account, CAST(epoch(date_trunc('day', ts)) / 86400 AS INT) AS day, avg(value) AS v FROM events GROUP BY 1, 2), l AS (SELECT *, CASE WHEN v - 65 <= -28 THEN 3 WHEN v - 55 <= -12 OR v - 60 <= -20 THEN 2 WHEN v - 55 <= -5 THEN 1 ELSE 0 END AS l FROM e),
-h AS (SELECT *, coalesce(max(CASE WHEN l >= 2 THEN l END) OVER (PARTITION BY account ORDER BY day), 0) AS h FROM l) SELECT account, day, ['NORMAL', 'SOFT', 'HARD', 'KILL'][greatest(l, h) + 1] AS state FROM h""",
+    "halt_history": """WITH RECURSIVE e AS (SELECT event_type AS account, CAST(epoch(date_trunc('day', ts)) / 86400 AS INT) AS day, avg(value) AS v FROM events GROUP BY 1, 2),
+l AS (SELECT *, CASE WHEN v - 65 <= -28 THEN 3 WHEN v - 55 <= -12 OR v - 60 <= -20 THEN 2 WHEN v - 55 <= -5 THEN 1 ELSE 0 END AS level, row_number() OVER (PARTITION BY account ORDER BY day) AS i FROM e),
+h AS (SELECT account, day, i, level AS state FROM l WHERE i = 1 UNION ALL
+SELECT l.account, l.day, l.i, greatest(level, CASE WHEN l.day % 13 = 0 OR state < 2 OR (l.day % 5 = 0 AND state = 2) THEN 0 ELSE state END) FROM h JOIN l ON l.account = h.account AND l.i = h.i + 1)
+SELECT account, day, ['NORMAL', 'SOFT', 'HARD', 'KILL'][state + 1] AS state FROM h""",
+    "call_reservations": """WITH RECURSIVE e AS (SELECT event_type AS account, event_id AS attempt, date_trunc('day', ts) AS day, date_trunc('month', ts) AS month, hour(ts) // 4 AS cycle, user_id % 50 AS tweets, value / 100 AS usd, row_number() OVER (PARTITION BY event_type ORDER BY ts, event_id) AS i FROM events),
+s AS (SELECT account, attempt, i, day, month, cycle, tweets, usd, 0::BIGINT AS requests, 0::BIGINT AS used, 0.0::DOUBLE AS spent, NULL::VARCHAR AS why FROM e WHERE false UNION ALL SELECT account, 0, 0, NULL, NULL, 0, 0, 0, 0, 0, 0, NULL FROM (SELECT DISTINCT account FROM e)),
+r AS (SELECT account, attempt, i, day, month, cycle, requests, used, spent, why FROM s UNION ALL
+SELECT account, attempt, i, day, month, cycle, q + (why IS NULL)::INT, u + CASE WHEN why IS NULL THEN tweets ELSE 0 END, m + CASE WHEN why IS NULL THEN usd ELSE 0 END, why FROM
+(SELECT *, CASE WHEN q + 1 > 9 THEN 'max_requests_per_day' WHEN u + tweets > 60 THEN 'max_tweets_per_cycle' WHEN m + usd > 60 THEN 'max_monthly_usd' END AS why FROM
+(SELECT e.*, CASE WHEN r.day = e.day THEN requests ELSE 0 END AS q, CASE WHEN r.day = e.day AND r.cycle = e.cycle THEN used ELSE 0 END AS u, CASE WHEN r.month = e.month THEN spent ELSE 0 END AS m FROM r JOIN e ON e.account = r.account AND e.i = r.i + 1)))
+SELECT account, attempt, why AS refused_by FROM r WHERE i > 0""",
     "uncovered_positions": """WITH p AS (SELECT l_suppkey AS a, sum(CASE WHEN l_returnflag = 'A' THEN l_quantity ELSE -l_quantity / 2 END) AS q FROM lineitem GROUP BY 1), o AS (SELECT l_suppkey AS a, CASE WHEN l_linestatus = 'O' THEN 'sell' ELSE 'buy' END AS s, sum(l_quantity / 10) AS c FROM lineitem WHERE l_returnflag = 'N' GROUP BY 1, 2)
 SELECT p.a AS account, round(q, 4) AS quantity, round(coalesce(c, 0), 4) AS covered FROM p LEFT JOIN o ON p.a = o.a AND s = CASE WHEN q > 0 THEN 'sell' ELSE 'buy' END WHERE q <> 0 AND coalesce(c, 0) < abs(q)""",
     "position_mismatches": """SELECT o_custkey, count(*)::DOUBLE AS venue, count_if(o_orderstatus <> 'P')::DOUBLE AS ledger FROM orders GROUP BY 1 HAVING count(*) <> count_if(o_orderstatus <> 'P')""",

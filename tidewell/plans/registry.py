@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tidewell.plans import desk, evaluation, market, posts, sentiment
+from tidewell.plans import cycle, desk, evaluation, market, posts, sentiment
 
-_MODULES = (market, posts, sentiment, evaluation, desk)
+_MODULES = (market, posts, sentiment, evaluation, desk, cycle)
 
 QUERIES: dict = {name: query for module in _MODULES for name, query in module.QUERIES.items()}
 ORACLES: dict[str, str] = {name: sql for module in _MODULES for name, sql in module.ORACLES.items()}
