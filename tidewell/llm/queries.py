@@ -86,7 +86,39 @@ QUERIES = {f.__name__: f for f in (op1_bm25_wand, op2_minhash_bayes, op3_cgk_dec
 
 _RULE_ROWS = ", ".join(f"('{h}', '{p}', '{v}')" for h, p, v in URL_RULES)
 
+#: Words of a text, apart at blanks.
+_WORDS = r"list_filter(string_split_regex(coalesce({}, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')"
+
 ORACLES = {
+    "op1_bm25_wand": r"""
+WITH t AS (SELECT doc_id, unnest(regexp_extract_all(lower(coalesce(text, '')), '[0-9a-z\x{80}-\x{10FFFF}]+')) AS w FROM documents),
+n AS (SELECT (SELECT count(*) FROM documents) AS docs, (SELECT count(*) FROM t)::DOUBLE / (SELECT count(*) FROM documents) AS mean),
+tf AS (SELECT doc_id, w, count(*)::DOUBLE AS c FROM t GROUP BY 1, 2), len AS (SELECT doc_id, sum(c) AS l FROM tf GROUP BY 1), df AS (SELECT w, count(*)::DOUBLE AS d FROM tf GROUP BY 1),
+v AS (SELECT tf.doc_id, tf.w, ln(1 + (docs - d + 0.5::DOUBLE) / (d + 0.5::DOUBLE)) * c * 2.2::DOUBLE / (c + 1.2::DOUBLE * (0.25::DOUBLE + 0.75::DOUBLE * l / mean)) AS v FROM tf JOIN len ON tf.doc_id = len.doc_id JOIN df ON tf.w = df.w, n),
+s AS (SELECT q.doc_id AS query_id, v.doc_id, sum(v) AS score FROM tf q JOIN v ON q.w = v.w WHERE q.doc_id % 50 = 0 GROUP BY 1, 2)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id)::INT AS rank, doc_id, round(score, 6) AS score FROM s
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 9) DESC, doc_id) <= 10
+""",
+    "op2_minhash_bayes": f"""
+WITH RECURSIVE d AS (SELECT doc_id, {_WORDS.format(f"translate(text, '{url_filter.UPPER}', '{url_filter.LOWER}')")} AS w FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(w) < 4 THEN array_to_string(w, ' ') ELSE array_to_string(w[i : i + 3], ' ') END AS g FROM (SELECT doc_id, w, unnest(range(1, greatest(len(w) - 2, 2))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+p AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS m FROM s a JOIN s b ON a.g = b.g AND a.doc_id < b.doc_id GROUP BY 1, 2),
+e AS (SELECT a, b FROM p JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * m >= 80 * (x.n + y.n - m)),
+u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e),
+r AS (SELECT doc_id AS s, doc_id AS t FROM documents UNION SELECT r.s, u.b FROM r JOIN u ON r.t = u.a),
+c AS (SELECT s, min(t) AS low FROM r GROUP BY 1)
+SELECT d.doc_id, coalesce(n, 0) AS n_shingles, low AS component_id, low = d.doc_id AS kept FROM documents d JOIN c ON s = d.doc_id LEFT JOIN n ON n.doc_id = d.doc_id
+""",
+    "op5_substring_dedup": f"""
+WITH d AS (SELECT doc_id, {_WORDS.format("text")} AS w FROM documents),
+g AS (SELECT doc_id, i, array_to_string(w[i : i + 12], ' ') AS k FROM (SELECT doc_id, w, unnest(range(1, len(w) - 11)) AS i FROM d WHERE len(w) >= 13)),
+low AS (SELECT k, min(doc_id) AS low FROM g GROUP BY 1), hit AS (SELECT doc_id, i FROM g JOIN low ON g.k = low.k WHERE low < doc_id),
+gone AS (SELECT DISTINCT doc_id, i + j AS at FROM hit, range(13) r(j)),
+x AS (SELECT doc_id, unnest(w) AS word, unnest(range(1, len(w) + 1)) AS at FROM d),
+kept AS (SELECT x.doc_id, string_agg(word, ' ' ORDER BY x.at) AS t, count(*) AS n FROM x ANTI JOIN gone ON x.doc_id = gone.doc_id AND x.at = gone.at GROUP BY 1)
+SELECT d.doc_id, len(w)::BIGINT AS n_words, (len(w) - coalesce(n, 0))::BIGINT AS n_removed, sha256(coalesce(t, '')) AS kept_sha256 FROM d LEFT JOIN kept ON kept.doc_id = d.doc_id
+""",
     "op7_url_filter": f"""
 WITH rest AS (
   SELECT page_id, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
