@@ -213,6 +213,24 @@ def test_leak_recall_at_the_limit():
     assert found >= 0.97 * 150
 
 
+def test_walks_find_pairs_at_the_limit_and_few_others():
+    rng = random.Random(4)
+    vocabulary = [f"w{i}" for i in range(2000)]
+    draw = lambda n: rng.choices(vocabulary, [1 / (i + 2) for i in range(2000)], k=n)
+    windows = lambda w, n: cgk_decontam.np.lib.stride_tricks.sliding_window_view(cgk_decontam.item_words(pa.array([" ".join(w)]))[0], n)
+    texts = [draw(rng.randint(15, 59)) for _ in range(150)]
+    items = cgk_decontam.Items(list(range(150)), cgk_decontam.item_words(pa.array([" ".join(t) for t in texts])), 0.2, 3, 0.99)
+    found = passed = 0
+    for i, text in enumerate(texts):
+        edited, n = list(text), len(text)
+        for _ in range(int(0.2 * n)):
+            at, kind = rng.randrange(len(edited)), rng.randrange(3)
+            edited[at : at + (kind != 1)] = [] if kind == 2 else draw(1)
+        found += items.agrees(i, windows((edited + draw(n))[:n], n))
+        passed += items.agrees(i, windows(draw(n), n))
+    assert found >= 0.98 * 150 and passed <= 0.1 * 150
+
+
 def test_leaks_odd(spark):
     bench = spark.createDataFrame([(1, None), (2, ""), (3, "w1 w2 w3 w4 w5 w6")], "item_id long, text string")
     assert {r.doc_id for r in cgk_decontam.find_leaks(frame(spark, ODD), bench).collect()} == {6, 7}

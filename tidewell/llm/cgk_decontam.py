@@ -5,10 +5,13 @@ its words is within floor(share * n) word edits of it.
 
 1. Seeds. An item within k edits keeps one of k+1 pieces of it unchanged, so only regions around an
    unchanged piece can hold it: this loses nothing and leaves few item-sized windows.
-2. CGK embedding. A window is walked 3n steps; at each step a keyed bit of the current word and step
-   says whether to advance. Windows few edits apart fall into step again, so their walks differ in
-   few places. Bit-sampling LSH compares ``samples`` places of both walks; a window is a candidate if
-   any of ``repetitions`` draws agrees, which find a pair at the limit with at least ``recall``.
+2. CGK embedding. The item-sized windows of a region are walked: at each step a keyed bit of the
+   current word and step says whether to advance. Windows few edits apart fall into step again, so
+   their walks agree in many places; unrelated ones agree by chance. Bit-sampling LSH compares
+   ``samples`` places of both walks, drawn where walks are still inside their windows (LIVE steps a
+   word); a window is a candidate if any draw over any of WALKS walks agrees. There are so many draws
+   that pairs at the limit are found with at least ``recall`` (tests measure it), while few of the
+   unrelated regions pass.
 3. The exact edit distance between the item and the best run inside the region decides.
 
 Items are met in blocks of bounded size, each broadcast, so memory doesn't grow with the benchmark.
@@ -31,12 +34,17 @@ from pyspark.sql.pandas.types import to_arrow_type
 from tidewell.llm.words import MARKS, U64, mix64, slices, stream
 
 BLOCK = 4000  # items in one broadcast
+WALKS = 12  # independent walks that places are drawn from
+LIVE = 1.4  # steps a word at which most walks haven't left their window
 FILTER_BITS = 22
 
 
 def repetitions(samples: int, recall: float, differing: float = 0.55) -> int:
-    """Draws of ``samples`` places that find two walks differing in that share of places with ``recall``."""
-    return math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** samples))
+    """Draws of ``samples`` places that find two walks differing in that share of places with ``recall``.
+
+    Draws from one walk aren't independent, so there are twice as many as if they were.
+    """
+    return 2 * math.ceil(math.log(1 - recall) / math.log(1 - (1 - differing) ** samples))
 
 
 def item_words(column: pa.Array) -> list[np.ndarray]:
@@ -45,19 +53,19 @@ def item_words(column: pa.Array) -> list[np.ndarray]:
     return [w.hashes[w.offsets[i] : w.offsets[i + 1]] for w in slices(lowered, lower=False, space=MARKS) for i in range(w.docs)]
 
 
-def embed(words: np.ndarray, steps: int, seed: int) -> np.ndarray:
-    """The CGK walk: the word under the walker at every step, 0 once it is past the end."""
-    out = np.zeros(steps, U64)
-    keys = stream(seed, steps)
-    at, n = 0, len(words)
-    bits = None
+def embed(windows: np.ndarray, steps: int, seed: int = 77) -> np.ndarray:
+    """The CGK walks of windows of equal length: [walk, window, step] is the word under the walker, 0 once it is past the end."""
+    count, n = windows.shape
+    keys = stream(seed, WALKS * steps).reshape(WALKS, steps, 1)
+    padded = np.concatenate([windows, np.zeros((count, 1), U64)], axis=1)
+    row = np.arange(count)
+    at = np.zeros((WALKS, count), np.int64)
+    out = np.zeros((WALKS, count, steps), U64)
     for j in range(steps):
-        if at >= n:
-            break
-        word = words[at]
-        out[j] = word
-        bits = int(word ^ keys[j]) * 0x9E3779B97F4A7C15 >> 63 & 1
-        at += bits
+        word = padded[row, at]
+        out[:, :, j] = word
+        at += ((word ^ keys[:, j]) * U64(0x9E3779B97F4A7C15) >> U64(63)).astype(np.int64)
+        np.minimum(at, n, out=at)
     return out
 
 
@@ -81,7 +89,7 @@ class Items:
 
     def __init__(self, ids: list, words: list[np.ndarray], share: float, samples: int, recall: float):
         self.rows = [(i, w, int(share * len(w) + 1e-9)) for i, w in zip(ids, words, strict=True) if len(w)]
-        self.samples, self.turns = samples, repetitions(samples, recall)
+        self.samples, self.draws = samples, math.ceil(repetitions(samples, recall) / WALKS)
         pieces: dict[int, dict[int, list[tuple[int, int]]]] = {}
         for at, (_, w, k) in enumerate(self.rows):
             edges = [round(j * len(w) / (k + 1)) for j in range(k + 2)]
@@ -95,22 +103,19 @@ class Items:
             bits = np.zeros(1 << FILTER_BITS, bool)
             bits[values >> U64(64 - FILTER_BITS)] = True
             self.filters[n] = bits
-        self.walks: dict[int, list[np.ndarray]] = {}
-
-    def places(self, item: int, turn: int) -> np.ndarray:
-        return (stream(1000 + turn, self.samples) % U64(3 * len(self.rows[item][1]))).astype(np.int64)
+        self.sampled: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
-    def agrees(self, item: int, window: np.ndarray) -> bool:
-        """Whether any draw of places finds the window's walk equal to the item's."""
+    def agrees(self, item: int, windows: np.ndarray) -> bool:
+        """Whether any draw of places finds a window's walk equal to the item's."""
         words = self.rows[item][1]
-        if item not in self.walks:
-            self.walks[item] = [embed(words, 3 * len(words), 77 + t) for t in range(self.turns)]
-        for turn, own in enumerate(self.walks[item]):
-            places = self.places(item, turn)
-            other = embed(window, int(places.max()) + 1, 77 + turn)
-            if (own[places] == other[places]).all():
-                return True
-        return False
+        steps = max(1, int(LIVE * len(words)))
+        if item not in self.sampled:
+            places = (stream(1000, WALKS * self.draws * self.samples) % U64(steps)).astype(np.int64).reshape(WALKS, -1)
+            own = embed(words[None, :], steps)[:, 0]
+            self.sampled[item] = places, np.take_along_axis(own, places, axis=1)
+        places, own = self.sampled[item]
+        found = np.take_along_axis(embed(windows, steps), places[:, None, :], axis=2) == own[:, None, :]
+        return bool(found.reshape(WALKS, len(windows), self.draws, self.samples).all(axis=3).any())
 
     def search(self, words: np.ndarray, grams: dict[int, np.ndarray], lookup) -> list[tuple]:
         """(item id, edits, first word, words of the item) for the items that one document holds."""
@@ -136,8 +141,9 @@ class Items:
     def _judge(self, item: int, region: bytes) -> tuple[int, int] | None:
         _, target, k = self.rows[item]
         words = np.frombuffer(region, U64)
-        windows = (words[s : s + len(target)] for s in range(max(1, len(words) - len(target) + 1)))
-        if not any(self.agrees(item, w) for w in windows):
+        if len(words) < len(target):
+            words = np.concatenate([words, np.zeros(len(target) - len(words), U64)])
+        if not self.agrees(item, np.lib.stride_tricks.sliding_window_view(words, len(target))):
             return None
         edits, end = edit_within(target, words)
         return (edits, end) if edits <= k else None
@@ -148,7 +154,7 @@ def _gram(words: np.ndarray) -> np.uint64:
     return mix64(np.array([(words * weights).sum(dtype=U64)], U64))[0]
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, samples: int = 2, recall: float = 0.99) -> DataFrame:
+def find_leaks(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, samples: int = 3, recall: float = 0.99) -> DataFrame:
     """(doc_id, item_id, edits, n_words, first_word) of the benchmark items (item_id, text) that documents hold."""
     spark = docs.sparkSession
     docs = docs.select("doc_id", "text")
@@ -217,7 +223,7 @@ def _drop(shared, at: int):
     return run
 
 
-def drop_leaked(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, samples: int = 2, recall: float = 0.99) -> DataFrame:
+def drop_leaked(docs: DataFrame, benchmark: DataFrame, share: float = 0.2, samples: int = 3, recall: float = 0.99) -> DataFrame:
     """The rows of ``docs``, with all their columns, that hold no benchmark item."""
     for ids, texts in _blocks(benchmark):
         items = Items(ids, item_words(pa.array(texts, pa.string())), share, samples, recall)
