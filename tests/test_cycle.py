@@ -11,9 +11,12 @@ from tidewell.operators import advisors as A
 from tidewell.operators import evaluation as E
 from tidewell.operators import portfolio as P
 from tidewell.operators import risk as K
+from tidewell.functions import text as X
+from tidewell.operators import scoring
 from tidewell.operators import sentiment as S
 from tidewell.plans import desk
-from tidewell.sources import ledger, search
+from tidewell.sources import landing, ledger, search
+from tidewell.streaming import posts as stream
 
 T0 = dt.datetime(2026, 1, 1)
 
@@ -213,6 +216,52 @@ def test_features_without_health_or_windows(spark):
     assert (part.volume_1h, part.volume_24h, part.sent_mean_24h_broad, part.quality_flags) == (None, None, 0.5, ["incomplete_window_1h", "incomplete_window_24h"])
 
 
+def test_scorer_never_fails_a_batch(spark):
+    def load():
+        def score(text):
+            if text == "bad":
+                raise RuntimeError("no")
+            return (0.1, 0.2, 0.7) if text else (0.2, 0.6, 0.2)
+
+        return score
+
+    df = spark.createDataFrame([(1, " good "), (2, "bad"), (3, None)], "post_id long, text string")
+    got = {r.post_id: r for r in scoring.score_posts(df, "text", load, "v1").collect()}
+    assert got[1].sentiment == pytest.approx(0.6) and got[1].confidence == 0.7 and got[1].quality_flags == []
+    assert (got[2].sentiment, got[2].quality_flags, got[2].error) == (None, ["unscored"], "no") and got[3].p_neutral == 0.6
+    queue = df.withColumns({"sentiment": F.when(F.col("post_id") == 1, 0.5), "is_deleted": F.col("post_id") == 2})
+    assert [r.post_id for r in scoring.score_queue(queue, "post_id").collect()] == [3]
+
+
+def test_streamed_revisions_and_claims(spark, tmp_path):
+    folder = tmp_path / "seen"
+    batches = [[(1, 1, "a"), (1, 2, "a"), (2, 1, "x")], [(1, 3, "b"), (2, 5, "x"), (3, 1, "n")], [(1, 4, "a"), (1, 2, "late"), (2, 6, "y")]]
+    schema = "id long, at timestamp, text string"
+    for i, rows in enumerate(batches):
+        spark.createDataFrame([(k, T0 + dt.timedelta(minutes=m), t) for k, m, t in rows], schema).coalesce(1).write.mode("append").parquet(str(folder))
+        for name, build in (("rev", lambda df: stream.revisions(df, "id", "at", "text")), ("claim", lambda df: stream.first_claims(df, "id", "at", "text"))):
+            live = build(spark.readStream.schema(schema).parquet(str(folder)))
+            stream.run_available(live, str(tmp_path / name), str(tmp_path / f"{name}-check"))
+    got = sorted((r.id, r.content_revision, r.text) for r in spark.read.parquet(str(tmp_path / "rev")).collect())
+    assert got == [(1, 0, "a"), (1, 1, "b"), (1, 2, "a"), (2, 0, "x"), (2, 1, "y"), (3, 0, "n")]
+    assert sorted((r.id, r.text) for r in spark.read.parquet(str(tmp_path / "claim")).collect()) == [(1, "a"), (2, "x"), (3, "n")]
+
+
+def test_landing_of_contexts_and_times(spark, tmp_path):
+    raw = spark.createDataFrame([('{"universe": [{"name": "BTC"}, {"name": "X"}, {"name": "ETH"}], "contexts": [{"markPx": "1.5"}, {"markPx": "9"}, {"markPx": "2", "funding": "0.1"}]}', '{"data": {"base": "BTC", "amount": "3.25", "currency": "USD"}}')], "contexts string, spot string")
+    assert {r.instrument_id: float(r.mark_px) for r in landing.asset_contexts(raw.select("contexts"), ["BTC", "ETH"]).collect()} == {"BTC": 1.5, "ETH": 2.0}
+    assert float(landing.spot_prices(raw).first().price) == 3.25
+    times = ["Fri, 02 Jan 2026 03:04:05 +0000", "2 Jan 2026 05:04:05 +0200", "Fri, 02 Jan 2026 03:04:05 GMT", "2026-01-02T03:04:05Z", "Fri Jan 02 03:04:05 +0000 2026", "soon"]
+    df = spark.createDataFrame([(i, t) for i, t in enumerate(times)], "i int, t string").select("i", X.parse_created(F.col("t")).alias("t"), X.query_time(X.parse_created(F.col("t"))).alias("q"))
+    got = df.orderBy("i").collect()
+    assert [r.t for r in got] == [dt.datetime(2026, 1, 2, 3, 4, 5)] * 5 + [None] and got[0].q == "2026-01-02_03:04:05_UTC"
+    (tmp_path / "a.json").write_text('[{"a": 1},\n {"a": 2}]')
+    assert sorted(r.a for r in landing.read_json_list(spark, str(tmp_path / "a.json"), "a long").collect()) == [1, 2]
+    snaps = spark.createDataFrame([("s1", 1), ("s2", 2)], "snapshot_id string, v long")
+    ledger.write_snapshots(snaps, str(tmp_path / "snaps"))
+    assert landing.read_snapshot(spark, str(tmp_path / "snaps"), "s2", "snapshot_id string, v long").first().v == 2
+
+
 def test_effective_sample_size(spark):
     df = spark.createDataFrame([(600, 6.0), (600, 0.0), (600, -1.0)], "n long, o double")
     assert [r[0] for r in df.select(E.effective_sample_size(F.col("n"), F.col("o"))).collect()] == [100.0, 600.0, 600.0]

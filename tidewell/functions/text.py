@@ -79,6 +79,23 @@ def parse_time(text: Column) -> Column:
     return F.coalesce(F.try_to_timestamp(text), F.try_to_timestamp(F.substr(text, F.lit(5)), F.lit("MMM dd HH:mm:ss Z yyyy")))
 
 
+def parse_created(text: Column) -> Column:
+    """RFC 2822 times such as ``Fri, 02 Jan 2026 03:04:05 +0000`` (the weekday may be missing), or what ``parse_time`` reads; else NULL."""
+    bare = F.regexp_replace(F.trim(text), r"^[A-Za-z]{3},\s*", "")
+    zoned = F.regexp_replace(bare, r"\s(GMT|UT|UTC|Z)$", " +0000")
+    return F.coalesce(F.try_to_timestamp(zoned, F.lit("d MMM yyyy HH:mm:ss Z")), parse_time(text))
+
+
+def query_time(at: Column) -> Column:
+    """A time as search queries write it."""
+    return F.concat(F.date_format(at, "yyyy-MM-dd_HH:mm:ss"), F.lit("_UTC"))
+
+
+def base_symbol(instrument: Column) -> Column:
+    """The part before the first dash, and of that before the first slash."""
+    return F.split_part(F.split_part(instrument, F.lit("-"), F.lit(1)), F.lit("/"), F.lit(1))
+
+
 def age_days(now: Column, created: Column) -> Column:
     return (F.unix_micros(now) - F.unix_micros(created)) / 8.64e10
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewell.functions.text import uuid5
+from tidewell.functions.text import base_symbol, uuid5
 from tidewell.graph import components
 from tidewell.scratch import save
 
@@ -64,10 +64,16 @@ def cluster(members: DataFrame, edges: DataFrame, node: str) -> DataFrame:
 
 
 def merge_clusters(clustered: DataFrame) -> DataFrame:
-    """One forecast for each cluster: weighted means (plain ones where all weights are 0)."""
+    """One forecast for each cluster: weighted means (plain ones where all weights are 0).
+
+    It stands in the name of the least (advisor_id, signal_id); where forecasts carry evidence, with all of it.
+    """
     w = F.sum("weight")
     mean = lambda c: F.when(w > 0, F.try_divide(F.sum(F.col(c) * F.col("weight")), w)).otherwise(F.avg(c))
-    return clustered.groupBy("instrument_id", "cluster").agg(mean("p").alias("p"), mean("excess").alias("excess"), F.when(w > 0, F.avg("weight")).otherwise(0.0).alias("weight"))
+    first = F.min(F.struct("advisor_id", F.col("signal_id").cast("string").alias("signal_id"), F.col("signal_id").alias("id")))
+    more = [F.array_sort(F.array_distinct(F.flatten(F.collect_list("evidence")))).alias("evidence")] if "evidence" in clustered.columns else []
+    found = clustered.groupBy("instrument_id", "cluster").agg(mean("p").alias("p"), mean("excess").alias("excess"), F.when(w > 0, F.avg("weight")).otherwise(0.0).alias("weight"), first.alias("first"), *more)
+    return found.select("instrument_id", "cluster", "first.advisor_id", F.col("first.id").alias("signal_id"), "p", "excess", "weight", *(["evidence"] if more else []))
 
 
 def covariance(vols: DataFrame, correlation: float, shrink: float = 0.0) -> DataFrame:
@@ -141,7 +147,7 @@ def order_intents(targets: DataFrame, equity: float, single_pct: float, order_pc
     side = F.when(F.col("change") > 0, "buy").otherwise("sell")
     away = F.col("atr") * atr_multiple * F.when(side == "buy", -1).otherwise(1)
     done = effect(F.col("current"), F.col("wanted"))
-    unit = F.split_part(F.split_part("instrument_id", F.lit("-"), F.lit(1)), F.lit("/"), F.lit(1))
+    unit = base_symbol(F.col("instrument_id"))
     name = F.concat_ws(":", F.col("decision_id").cast("string"), "instrument_id", side)
     return moved.select(
         uuid5(INTENTS, name).alias("intent_id"), "decision_id", "instrument_id", "created_at", (F.col("created_at") + F.make_dt_interval(hours=F.lit(hours))).alias("expires_at"), side.alias("side"), done.alias("effect"), "quantity",
@@ -172,7 +178,7 @@ def run_cycle(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, mark
     calibrated = save(calibrate(forecasts, records, buckets, shrinkage), "calibrated")
     evidence = forecasts.select("instrument_id", "signal_id", "evidence")
     clusters = cluster(evidence.select("signal_id"), similar_pairs(evidence, "instrument_id", "signal_id", "evidence", 0.5), "signal_id")
-    merged = merge_clusters(calibrated.join(clusters, "signal_id"))
+    merged = merge_clusters(calibrated.join(clusters, "signal_id").join(evidence.select("signal_id", "evidence"), "signal_id"))
     edges = merged.groupBy("instrument_id").agg(F.sum(F.col("weight") * F.col("excess")).alias("edge"))
     rows = market.join(edges, "instrument_id", "left")
     sized = size_positions(rows.select("book", "instrument_id", "vol", "edge"), correlation, shrink, target_pct, equity, single, gross, net)

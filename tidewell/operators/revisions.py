@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.scratch import save
+
 
 def build_revisions(seen: DataFrame, key: str, time: str, content: str) -> DataFrame:
     """Revisions of observations: an unchanged content extends the current one, a change opens the next.
@@ -34,19 +36,20 @@ def mark_deleted(revisions: DataFrame, deleted: DataFrame, key: str) -> DataFram
 def assign_canonical(posts: DataFrame, text_key: str, order: list[str], author: str) -> DataFrame:
     """Copies by equal text key: the first of each group and the group's size and authors, on every row.
 
-    Groups are summed up first and joined back, so a text that very many posts share is never
-    gathered by one task. Posts without a text are their own canonical.
+    The key, which may be long and costly to build, is made once and replaced by its digest
+    ``dedup_id``; ``posts`` keeps its other columns. Groups are summed up first and joined back, so a
+    text that very many posts share is never gathered by one task. Posts without a text are their own canonical.
     """
-    known = posts.where(F.length(text_key) > 0)
-    groups = known.groupBy(text_key).agg(
+    digest = F.when(F.length(text_key) > 0, F.sha2(F.col(text_key), 256))
+    marked = save(posts.withColumn("digest", digest).drop(text_key), "marked")
+    groups = marked.where("digest is not null").groupBy("digest").agg(
         F.min(F.struct(*order)).getField(order[-1]).alias("canonical_id"), F.count("*").alias("copies"), F.count_distinct(F.when(F.length(F.col(author).cast("string")) > 0, F.col(author))).alias("authors")
     )
-    joined = posts.join(groups, text_key, "left")
-    own = F.col(order[-1])
+    joined = marked.join(groups, "digest", "left")
     return joined.withColumns({
-        "canonical_id": F.coalesce("canonical_id", own), "copies": F.coalesce("copies", F.lit(1)), "authors": F.coalesce("authors", F.lit(1)),
-        "dedup_id": F.when(F.length(text_key) > 0, F.concat(F.lit("dedup:"), F.left(F.sha2(F.col(text_key), 256), F.lit(16)))),
-    })
+        "canonical_id": F.coalesce("canonical_id", order[-1]), "copies": F.coalesce("copies", F.lit(1)), "authors": F.coalesce("authors", F.lit(1)),
+        "dedup_id": F.concat(F.lit("dedup:"), F.left("digest", F.lit(16))),
+    }).drop("digest")
 
 
 def overlapping(windows: DataFrame, asked: DataFrame, key: str, bucket_seconds: int = 86_400) -> DataFrame:

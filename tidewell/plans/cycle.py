@@ -8,7 +8,8 @@ from tidewell.functions import text as X
 from tidewell.operators import advisors as A
 from tidewell.operators import evaluation as E
 from tidewell.operators import portfolio as P
-from tidewell.plans import evaluation, market, posts
+from tidewell.operators import views as V
+from tidewell.plans import evaluation, market, posts, sentiment
 from tidewell.session import read_table
 from tidewell.sources import ledger, search
 
@@ -170,8 +171,42 @@ def data_snapshot(spark, d):
     return found.select(F.explode("instruments").alias("x"), F.size("features").alias("features"), F.array_join("quality_flags", ",").alias("flags")).select("x.instrument_id", "x.mark", "x.reference", F.round("x.divergence_bps", 4).alias("divergence_bps"), "x.status", "features", "flags")
 
 
+def sentiment_history(spark, d):
+    """Author-first sentiment of every asset and hour."""
+    found = V.hourly_sentiment(sentiment.posts(spark, d))
+    return found.select("asset", F.unix_timestamp("hour").alias("hour"), "n", F.round("sent_mean", 6).alias("sent_mean"), F.round("sent_weighted", 6).alias("sent_weighted"))
+
+
+def listed_posts(spark, d):
+    """The second page of negative posts of ten days, on either half of the assets."""
+    rows = sentiment.posts(spark, d).withColumns({"is_deleted": F.col("post_id") % 37 == 0, "asset_mentions": F.when(F.col("post_id") % 2 == 0, F.array(F.lit("A"))).otherwise(F.array(F.lit("A"), F.lit("B")))})
+    page = V.post_page(rows, _now(), limit=50, offset=20, hours=240, asset="B", label="negative")[1]
+    return page.select("post_id", "label", F.round("sentiment", 6).alias("sentiment"))
+
+
+def merged_history(spark, d):
+    """Orders as both ledgers' forecasts with JSON payloads, some of them broken."""
+    o = read_table(spark, d, "orders")
+    text = lambda c: F.when(F.col("o_orderkey") % 9 == 0, "{broken").otherwise(F.to_json(c))
+    own = F.struct(F.when(F.col("o_orderstatus") == "F", "long").otherwise("short").alias("action"), (F.col("o_custkey") % 7).cast("double").alias("raw_score"))
+    other = F.struct((F.col("o_orderkey") % 5 == 0).alias("abstain"), F.lit("long").alias("direction"), (F.col("o_custkey") % 5 / 10).alias("confidence"), F.when(F.col("o_orderkey") % 3 == 0, 0.5).alias("probability_positive"))
+    base = [F.col("o_orderdate").cast("timestamp").alias("generated_at"), F.concat(F.lit("a"), F.col("o_custkey").cast("string")).alias("advisor_id"), F.col("o_orderkey").alias("instrument_id")]
+    found = V.forecast_history(o.where("o_orderkey % 2 = 0").select(*base, text(own).alias("payload")), o.where("o_orderkey % 2 = 1").select(*base, text(other).alias("payload")), F.lit("1997-01-01").cast("timestamp"))
+    return found.select(F.unix_timestamp("generated_at").alias("generated"), "advisor_id", "instrument_id", "action", "raw_score", "p_plus")
+
+
+def book_exposures(spark, d):
+    """Gross and net of customers' balances by segment."""
+    c = read_table(spark, d, "customer").select("c_mktsegment", F.col("c_acctbal").alias("notional"))
+    return V.exposure_totals(c, ["c_mktsegment"]).select("c_mktsegment", F.round("gross", 2).alias("gross"), F.round("net", 2).alias("net"))
+
+
+def validation_lines(spark, d):
+    return E.validation_report(evaluation.labelled(spark, d), "true", "said", "confidence")
+
+
 QUERIES = {f.__name__: f for f in (
-    search_parts, search_records, timelines, order_logs, positions, refused_rows, resolved_outcomes, reconciled, newest_signals, trend_signals, reply_costs, cycle_lines, provisional_records,
+    sentiment_history, listed_posts, merged_history, book_exposures, validation_lines, search_parts, search_records, timelines, order_logs, positions, refused_rows, resolved_outcomes, reconciled, newest_signals, trend_signals, reply_costs, cycle_lines, provisional_records,
     report_metrics, weekly_reports, effective_samples, labelling_sample, data_snapshot,
 )}
 
@@ -186,6 +221,13 @@ signals AS (SELECT decision_id, instrument_id, epoch(TIMESTAMP '{NOW}' + INTERVA
 CASE WHEN decision_id = 2 THEN 'budget exceeded' WHEN run IS NULL THEN 'no readable reply' ELSE 'on ' || instrument_id END AS thesis, run FROM s)"""
 
 ORACLES = {
+    "sentiment_history": f"""WITH {sentiment._POSTS}, p AS (SELECT *, date_trunc('hour', event_time) AS hour FROM posts), c AS (SELECT asset, hour, count(*) AS n FROM p GROUP BY 1, 2), m AS {sentiment._means('p', 'asset, hour')}
+SELECT asset, epoch(hour)::BIGINT AS hour, n, round(sent_mean, 6) AS sent_mean, round(sent_weighted, 6) AS sent_weighted FROM c LEFT JOIN m USING (asset, hour)""",
+    "listed_posts": f"""WITH {sentiment._POSTS} SELECT post_id, 'negative' AS label, round(sentiment, 6) AS sentiment FROM posts WHERE sentiment < -0.2 AND post_id % 37 <> 0 AND post_id % 2 <> 0 AND event_time >= TIMESTAMP '{NOW}' - INTERVAL 10 DAY ORDER BY event_time DESC, post_id LIMIT 50 OFFSET 20""",
+    "merged_history": """SELECT epoch(o_orderdate)::BIGINT AS generated, 'a' || o_custkey || CASE WHEN o_orderkey % 2 = 1 THEN ' (research)' ELSE '' END AS advisor_id, o_orderkey AS instrument_id,
+CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 2 = 1 THEN CASE WHEN o_orderkey % 5 = 0 THEN 'flat' ELSE 'long' END WHEN o_orderstatus = 'F' THEN 'long' ELSE 'short' END AS action,
+CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 2 = 1 THEN o_custkey % 5 / 10.0::DOUBLE ELSE (o_custkey % 7)::DOUBLE END AS raw_score, CASE WHEN o_orderkey % 9 <> 0 AND o_orderkey % 2 = 1 AND o_orderkey % 3 = 0 THEN 0.5::DOUBLE END AS p_plus FROM orders WHERE o_orderdate >= TIMESTAMP '1997-01-01'""",
+    "book_exposures": "SELECT c_mktsegment, round(sum(abs(c_acctbal)), 2) AS gross, round(sum(c_acctbal), 2) AS net FROM customer GROUP BY 1",
     "search_parts": f"WITH {_PARTS} SELECT request, lo, hi, found, taken, complete, fetched FROM parts",
     "search_records": f"""WITH {_PARTS}, g AS (SELECT request, sum(taken) AS n, min(lo) AS oldest, bool_and(complete) AS whole FROM parts WHERE fetched GROUP BY 1),
 r AS (SELECT g.request, asset, n, CASE WHEN n >= 100 AND oldest > a.lo THEN 'budget_cap' WHEN NOT whole THEN 'provider_limit' END AS why FROM asked a JOIN g ON g.request = asset || ':' || a.lo)

@@ -232,12 +232,16 @@ CASE WHEN action = 'flat' THEN 0.0 WHEN pr IS NOT NULL AND bps IS NOT NULL THEN
 CASE WHEN advisor_id < 6 AND 50 * advisor_id >= 120 THEN advisor_id / 10.0::DOUBLE * 0.8 ELSE 0.0 END AS weight FROM r)"""
 _MK = "c AS (SELECT c_nationkey AS k, stddev_pop(c_acctbal) / 10000 AS vol, avg(c_acctbal) - 4500 AS edge FROM customer GROUP BY 1), m AS (SELECT n_regionkey AS book, n_name AS instrument_id, vol, edge FROM nation JOIN c ON n_nationkey = k)"
 
+_OVERLAP = """WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 400 AS p FROM lineitem), n AS (SELECT s, s_nationkey, p, count(*) OVER (PARTITION BY s) AS n FROM s JOIN supplier ON s_suppkey = s)
+SELECT a.s_nationkey, a.s AS a, b.s AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS jaccard FROM n a JOIN n b ON a.s_nationkey = b.s_nationkey AND a.p = b.p AND a.s < b.s GROUP BY 1, 2, 3, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) > 0.6"""
+
 ORACLES = {
     "calibrated_forecasts": f"WITH {_C} SELECT signal_id, instrument_id, round(p, 6) AS p, round(excess, 6) AS excess, round(weight, 6) AS weight FROM c",
     "net_edges": f"""WITH {_C}, k AS (SELECT instrument_id, advisor_id, CASE WHEN sum(weight) > 0 THEN sum(excess * weight) / sum(weight) ELSE avg(excess) END AS excess, CASE WHEN sum(weight) > 0 THEN avg(weight) ELSE 0 END AS weight FROM c GROUP BY 1, 2)
 SELECT instrument_id, round(sum(weight * excess), 4) AS edge, count(*) AS clusters FROM k GROUP BY 1""",
-    "supplier_overlap": """WITH s AS (SELECT DISTINCT l_suppkey AS s, l_partkey % 400 AS p FROM lineitem), n AS (SELECT s, s_nationkey, p, count(*) OVER (PARTITION BY s) AS n FROM s JOIN supplier ON s_suppkey = s)
-SELECT a.s_nationkey, a.s AS a, b.s AS b, round(count(*)::DOUBLE / (a.n + b.n - count(*)), 6) AS jaccard FROM n a JOIN n b ON a.s_nationkey = b.s_nationkey AND a.p = b.p AND a.s < b.s GROUP BY 1, 2, 3, a.n, b.n HAVING count(*)::DOUBLE / (a.n + b.n - count(*)) > 0.6""",
+    "supplier_overlap": _OVERLAP,
+    "supplier_clusters": f"""WITH RECURSIVE e AS (SELECT a, b FROM ({_OVERLAP})), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT s_suppkey AS s, s_suppkey AS t FROM supplier UNION SELECT r.s, u.b FROM r JOIN u ON r.t = u.a)
+SELECT s AS s_suppkey, min(t) AS cluster FROM r GROUP BY 1""",
     "position_sizes": f"""WITH {_MK}, w AS (SELECT *, 1 / vol / sum(1 / vol) OVER (PARTITION BY book) * sign(edge) AS w FROM m), cov AS (SELECT a.book, sum(a.w * b.w * CASE WHEN a.instrument_id = b.instrument_id THEN a.vol * b.vol ELSE 0.4::DOUBLE * a.vol * b.vol END) AS v FROM w a JOIN w b ON a.book = b.book GROUP BY 1),
 n AS (SELECT w.book, instrument_id, greatest(least(CASE WHEN v > 0 THEN w * 0.1 / sqrt(v) * 1e6 ELSE 0 END, 1e5), -1e5) AS n FROM w JOIN cov USING (book)),
 g AS (SELECT *, n * CASE WHEN sum(abs(n)) OVER (PARTITION BY book) > 3e5 THEN 3e5 / sum(abs(n)) OVER (PARTITION BY book) ELSE 1 END AS o FROM n)

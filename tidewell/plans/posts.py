@@ -33,7 +33,7 @@ def deleted_posts(spark, d):
 
 
 def canonical_posts(spark, d):
-    docs = read_table(spark, d, "documents").withColumn("key", X.dedup_key(F.col("text")))
+    docs = read_table(spark, d, "documents").select("doc_id", "n_chars", "source", X.dedup_key(F.col("text")).alias("key"))
     found = R.assign_canonical(docs, "key", ["n_chars", "doc_id"], "source")
     return found.select("doc_id", "canonical_id", F.col("copies").cast("long").alias("copies"), F.col("authors").cast("long").alias("authors"), "dedup_id")
 

@@ -85,3 +85,42 @@ def candles(raw: DataFrame, column: str = "candles") -> DataFrame:
     rows = raw.select(F.explode(F.from_json(column, schema)).alias("x"))
     values = [F.col(f"x.{a}").cast("double").alias(b) for a, b in zip("ohlcv", ("open", "high", "low", "close", "volume"), strict=True)]
     return rows.select(F.col("x.s").alias("instrument_id"), F.timestamp_millis("x.T").alias("close_time"), *values)
+
+
+def asset_contexts(raw: DataFrame, coins: list[str], column: str = "contexts") -> DataFrame:
+    """Prices and rates of the coins from JSON {"universe": [{"name"}], "contexts": [...]}, whose arrays match by position."""
+    fields = {"markPx": "mark_px", "midPx": "mid_px", "oraclePx": "oracle_px", "funding": "funding", "openInterest": "open_interest", "prevDayPx": "prev_day_px", "dayNtlVlm": "day_volume"}
+    schema = f"universe array<struct<name:string>>, contexts array<struct<{','.join(f'{f}:string' for f in fields)}>>"
+    rows = raw.withColumn("x", F.from_json(column, schema)).select(*[c for c in raw.columns if c != column], F.explode(F.arrays_zip(F.col("x.universe").alias("asset"), F.col("x.contexts").alias("context"))).alias("x"))
+    return rows.where(F.col("x.asset.name").isin(*coins)).select(*[c for c in rows.columns if c != "x"], F.col("x.asset.name").alias("instrument_id"), *[F.col(f"x.context.{a}").cast("decimal(38,18)").alias(b) for a, b in fields.items()])
+
+
+def spot_prices(raw: DataFrame, column: str = "spot") -> DataFrame:
+    """(instrument_id, price, currency) of JSON {"data": {"base", "amount", "currency"}}."""
+    rows = raw.select(F.from_json(column, "data struct<base:string,amount:string,currency:string>").alias("x"))
+    return rows.select(F.col("x.data.base").alias("instrument_id"), F.col("x.data.amount").cast("decimal(18,8)").alias("price"), F.col("x.data.currency").alias("currency"))
+
+
+def read_json_list(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """The objects of files that each hold one JSON list."""
+    return spark.read.schema(schema).option("multiLine", True).json(path)
+
+
+def read_snapshot(spark: SparkSession, path: str, snapshot_id: str, schema: str) -> DataFrame:
+    """A stored snapshot by its id; only its own partition is read."""
+    lines = spark.read.text(path).where(F.col("snapshot_id") == snapshot_id)
+    return lines.select(F.from_json("value", schema).alias("x")).select("x.*")
+
+
+def load_config(text: str, required: tuple[str, ...] = ()) -> dict:
+    """Settings from a YAML document, dotted names of ``required`` being there and not empty."""
+    import yaml  # only this function needs it
+
+    config = yaml.safe_load(text) or {}
+    for name in required:
+        value = config
+        for part in name.split("."):
+            value = (value or {}).get(part)
+        if value is None:
+            raise KeyError(name)
+    return config
