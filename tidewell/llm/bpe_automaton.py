@@ -29,6 +29,7 @@ import hashlib
 import json
 import unicodedata
 from functools import lru_cache
+from itertools import islice
 
 import pyarrow as pa
 import regex
@@ -53,7 +54,8 @@ NEW_CAPITALS = dict(zip(
     [0x1C89, 0xA7CB, 0xA7CC, 0xA7CE, 0xA7D2, 0xA7D4, 0xA7DA, 0xA7DC, *range(0x10D50, 0x10D66), *range(0x16EA0, 0x16EB9)],
     [0x1C8A, 0x0264, 0xA7CD, 0xA7CF, 0xA7D3, 0xA7D5, 0xA7DB, 0x019B, *range(0x10D70, 0x10D86), *range(0x16EBB, 0x16ED4)], strict=True,
 ))
-MEMORY = 600_000
+#: Words, runs of words, transitions and half as many arcs that a process remembers.
+MEMORY = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -80,18 +82,17 @@ class Automaton:
         for time, merge in enumerate(model["merges"]):
             u, v = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(self.ids[u], self.ids[v], self.ids[u + v], time)
-        self.spelling: dict[int, tuple[int, ...]] = {b: (b,) for b in base}
+        spelling: dict[int, tuple[int, ...]] = {b: (b,) for b in base}
         for t, (u, v, _) in self.made.items():
-            self.spelling[t] = self.spelling[u] + self.spelling[v]
-        by_spelling = {s: t for t, s in self.spelling.items()}
+            spelling[t] = spelling[u] + spelling[v]
+        by_spelling = {s: t for t, s in spelling.items()}
         self.suffixes: dict[int, int] = {}
-        for t, s in self.spelling.items():
+        for t, s in spelling.items():
             self.suffixes[t] = next((by_spelling[s[k:]] for k in range(1, len(s)) if s[k:] in by_spelling), -1)
-        self.length = {t: len(s) for t, s in self.spelling.items()}
+        self.length = {t: len(s) for t, s in spelling.items()}
         self._trie(by_spelling)
-        self.left, self.right = {}, {}
-        for t in self.spelling:
-            self.left[t], self.right[t] = self._edge(t, 0), self._edge(t, 1)
+        self.left: dict[int, list[tuple[int, float]]] = {}
+        self.right: dict[int, list[tuple[int, float]]] = {}
         self.arcs: dict[int, bool] = {}
         self.words: dict[str, bytes] = {}
         self.chunks: dict[str, bytes] = {}
@@ -106,13 +107,16 @@ class Automaton:
         self.made.setdefault(uv, (u, v, time))
 
     def _edge(self, t: int, side: int) -> list[tuple[int, float]]:
-        """t and its ancestors on one edge, each with the time at which it was merged onward."""
-        out, until = [(t, float("inf"))], float("inf")
-        while t in self.made:
-            until = self.made[t][2]
-            t = self.made[t][side]
-            out.append((t, until))
-        return out
+        """t and its ancestors on one edge, each with the time at which it was merged onward; kept for tokens that texts hold."""
+        known = self.right if side else self.left
+        if t not in known:
+            out, at = [(t, float("inf"))], t
+            while at in self.made:
+                until = self.made[at][2]
+                at = self.made[at][side]
+                out.append((at, until))
+            known[t] = out
+        return known[t]
 
     def _trie(self, by_spelling: dict) -> None:
         """Next state by (state, symbol), a state being the longest run of symbols that starts a token."""
@@ -132,10 +136,12 @@ class Automaton:
             longest[own] = by_spelling.get(s, longest[fail[own]])
         symbols = {t: n for n, t in enumerate(self.inner)} | {t: n + 256 for n, t in enumerate(self.final)}
         self.goto = {state << 9 | symbols[t]: to for (state, t), to in step.items()}
-        self.fail, self.longest = fail, longest
+        self.fail, self.longest, self.compiled = fail, longest, len(self.goto)
 
     def _goto(self, state: int, symbol: int) -> int:
         """The transition where the state's own run can't go on; entered into the table."""
+        if len(self.goto) >= self.compiled + MEMORY:  # the compiled transitions came first
+            self.goto = dict(islice(self.goto.items(), self.compiled))
         back = state
         while back << 9 | symbol not in self.goto:
             back = self.fail[back]
@@ -148,8 +154,9 @@ class Automaton:
         found = self.arcs.get(key)
         if found is None:
             cuts, found = self.cuts, True
-            for x, until in self.right[a]:
-                for y, since in self.left[b]:
+            before, after = self._edge(a, 1), self._edge(b, 0)
+            for x, until in before:
+                for y, since in after:
                     time = cuts.get((x, y))
                     if time is not None and time < until and time <= since:
                         found = False
