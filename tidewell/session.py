@@ -39,11 +39,16 @@ BATCH_ROWS = 1000
 
 
 def prepare(spark: SparkSession) -> None:
-    """Let Python workers find this package, wherever the driver was started from, and keep their batches small."""
+    """Let Python workers find this package, wherever the driver was started from, and keep them small.
+
+    Their Arrow memory comes from the system, which takes a batch back once it is gone.
+    """
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    workers = spark.sparkContext.environment
+    workers.setdefault("ARROW_DEFAULT_MEMORY_POOL", "system")
     paths = os.environ.get("PYTHONPATH", "").split(os.pathsep)
     if REPO not in paths:
-        spark.sparkContext.environment["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
+        workers["PYTHONPATH"] = os.pathsep.join([REPO, *filter(None, paths)])
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
