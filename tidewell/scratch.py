@@ -25,11 +25,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
-def save(df: DataFrame, name: str = "table") -> DataFrame:
-    """Write ``df`` as Parquet to the shared folder and return the reader of that copy."""
+def save(df: DataFrame, name: str = "table", by: tuple[str, ...] = ()) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder, in folders ``by`` columns, and return the reader of that copy."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tidewell-{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     _written.append((spark, path))
     # the plan that wrote the copy is garbage now; collecting it lets Spark delete its shuffle files at once
     spark.sparkContext._jvm.System.gc()

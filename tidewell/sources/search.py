@@ -76,7 +76,9 @@ def read_timeline(posts: DataFrame, since: Column, max_pages: int = 50) -> tuple
     Pages are read until one holds a post before ``since`` or is the last; reading all of ``max_pages`` makes the window partial.
     """
     newest = Window.partitionBy("author").orderBy(F.desc("at"), F.desc("post_id"))
-    paged = posts.withColumn("page", F.floor((F.row_number().over(newest) - 1) / PAGE))
+    # one post more than can be read tells that there is more; older ones needn't be sorted
+    near = posts.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= max_pages * PAGE + 1)
+    paged = near.withColumn("page", F.floor((F.col("place") - 1) / PAGE)).drop("place")
     ends = paged.groupBy("author").agg(F.min(F.when(F.col("at") < since, F.col("page"))).alias("stop"), F.max("page").alias("last"))
     read = F.least(F.coalesce("stop", "last") + 1, F.lit(max_pages))
     kept = paged.where((F.col("page") < max_pages) & F.coalesce(F.col("at") >= since, F.lit(True))).drop("page")
