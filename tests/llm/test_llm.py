@@ -173,6 +173,23 @@ def test_bm25_waves_are_exact(spark, monkeypatch):
         assert found == [d for s, d in sorted((-round(s, 9), d) for d, s in enumerate(scores) if s > 0)[:5]]
 
 
+def test_a_shard_returns_just_what_beats_the_bar(monkeypatch):
+    monkeypatch.setattr(bm25_wand, "BLOCK", 4)
+    rng = random.Random(6)
+    texts = [" ".join(rng.choices([f"w{i}" for i in range(80)], [1 / (i + 1) for i in range(80)], k=rng.choice([2, 6, 60]))) for _ in range(200)]
+    texts += texts[:20]
+    owner, terms, _ = bm25_wand._term_counts(next(bm25_wand._tokens(pa.array(texts))))
+    found, df = bm25_wand.np.unique(terms, return_counts=True)
+    count = dict(zip(found.tolist(), df.tolist(), strict=True))
+    rows = [(i, terms[owner == i].view("int64"), bm25_wand.np.array([count[t] for t in terms[owner == i].tolist()])) for i in range(0, 200, 3)]
+    block = bm25_wand.QueryBlock(rows, len(texts), 20.0, 7, 1.2, 0.75)
+    whole, some = {}, {}
+    block.search(list(range(len(texts))), pa.array(texts), whole, {})
+    assert len(whole) == len(rows) and {len(rows[i][1]) <= bm25_wand.WAND_TERMS for i in whole} == {True, False}
+    block.search(list(range(len(texts))), pa.array(texts), some, {i: x[min(3, len(x) - 1)] for i, x in whole.items()})
+    assert some == {i: x[: min(3, len(x) - 1)] for i, x in whole.items() if len(x) > 1}
+
+
 def test_wand_equals_full_scoring():
     rng = random.Random(5)
     for _ in range(200):

@@ -363,27 +363,39 @@ def search(docs: DataFrame, queries: DataFrame, k: int = 10, k1: float = 1.2, b:
     documents, tokens = (n or 0 for n in frequencies.where("term is null").agg(F.max("df"), F.max("tokens")).first())
     asked = queries.mapInArrow(_query_terms, f"query_id {kinds[1]}, term long").join(frequencies.select("term", "df"), "term")
     asked = save(asked.groupBy("query_id").agg(F.collect_list(F.struct("term", "df")).alias("x")).select("query_id", "x.term", "x.df"), "asked")
-    every = max(1, -(-documents // SHARD))  # the first wave is one document of so many
-    place = F.pmod(F.xxhash64("doc_id"), F.lit(every))
+    waves = _waves(docs, documents)
     result = spark.createDataFrame([], schema)
     for rows in _blocks(asked):
         block = spark.sparkContext.broadcast(QueryBlock(rows, documents, tokens / max(documents, 1), k, k1, b))
-        best, bars, met = None, {}, 0
-        while met < every:
-            upto = min(every, met * WAVE or 1)
-            wave = docs.where((place >= met) & (place < upto))
-            wave = wave.coalesce(1) if not met else wave  # one shard
+        best, bars = None, {}
+        for n, wave in enumerate(waves, 1):
             shared = spark.sparkContext.broadcast(bars)
             found = wave.mapInArrow(_scan(block, shared, to_arrow_type(queries.schema["query_id"].dataType)), schema)
             best = save(_ranked(found if best is None else best.drop("rank").unionByName(found), k), "best")
-            met = upto
-            if met < every:
+            if n < len(waves):
                 at = {query: i for i, (query, _, _) in enumerate(rows)}
                 bars = {at[r["query_id"]]: (r["score"], r["doc_id"]) for r in best.where(F.col("rank") == k).toLocalIterator()}
         result = result.unionByName(best.drop("rank"))
     return _ranked(result, k).select("query_id", "rank", "doc_id", F.round("score", 6).alias("score"))
 
 
+def _waves(docs: DataFrame, documents: int) -> list[DataFrame]:
+    """The documents in waves: about a shard in one partition, then WAVE times as many as before together.
+
+    All but the last wave, a WAVE-th of the documents, are written apart once, so that a wave reads little beside its own.
+    """
+    every, ends = max(1, -(-documents // SHARD)), [1]  # the first wave is one document of so many
+    while ends[-1] < every:
+        ends.append(min(every, ends[-1] * WAVE))
+    if len(ends) == 1:
+        return [docs.repartition(1)]
+    place = F.pmod(F.xxhash64("doc_id"), F.lit(every))
+    wave = sum((F.when(place >= end, 1).otherwise(0) for end in ends[:-1]), F.lit(0))
+    early = save(docs.where(place < ends[-2]).withColumn("wave", wave), "waves", ("wave",))
+    parts = [early.where(F.col("wave") == n).select(*docs.columns) for n in range(len(ends) - 1)]
+    return [parts[0].repartition(1), *parts[1:], docs.where(place >= ends[-2])]
+
+
 def _ranked(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "doc_id")
     return found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
