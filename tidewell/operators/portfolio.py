@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -41,20 +44,115 @@ def similar_pairs(members: DataFrame, key: str, node: str, evidence: str, over:
     A prefix filter finds the pairs: with the items of a set ordered by how rare they are, two sets
     beyond the index share one of the first n - ceil(over * n) + 1 of either, so only those meet by
     an equi-join and common items hardly ever do. The whole sets of such pairs are then compared.
+    In a key whose items are so common that these would meet more often than there are pairs, all
+    pairs are compared, as products of blocks of sets; keys of fewer than 16 members aren't worth a group.
     ``members`` has one row for each member of a key; an empty or NULL set is like none.
     """
+    return _similar(members, key, node, evidence, over, False)
+
+
+def similar_links(members: DataFrame, key: str, node: str, evidence: str, over: float = 0.5) -> DataFrame:
+    """(a, b): links that connect just what ``similar_pairs`` connect, but few of them where most pairs are similar."""
+    return _similar(members, key, node, evidence, over, True).select("a", "b")
+
+
+def _similar(members: DataFrame, key: str, node: str, evidence: str, over: float, linked: bool) -> DataFrame:
     items = F.array_distinct(F.array_compact(evidence))
-    sets = save(members.select(F.col(key).alias("key"), F.col(node).alias("node"), items.alias("items"), F.size(items).alias("n")).where("n > 0"), "evidence")
+    sets = members.select(F.col(key).alias("key"), F.col(node).alias("node"), items.alias("items"), F.size(items).alias("n"))
+    sets = save(sets.where("n > 0 and key is not null and node is not null"), "evidence")
+    head = (F.col("n") - F.ceil(F.col("n") * over - 1e-9) + 1).cast("int")
+    size = sets.groupBy("key").agg(F.count("*").alias("members"), F.sum(head.cast("double")).alias("heads"))
     single = sets.select("key", "node", F.explode("items").alias("item"))
-    met = single.join(single.groupBy("key", "item").agg(F.count("*").alias("rows")), ["key", "item"])
+    counts = save(single.groupBy("key", "item").agg(F.count("*").alias("rows")), "items")
+    often = lambda meet: (F.col("members") >= 16) & (meet >= F.col("members") * F.col("members"))
+    # heads spread evenly over all items would meet heads^2 / items times, and no less often however they are spread
+    sizes = save(size.join(counts.groupBy("key").agg(F.count("*").alias("items")), "key").withColumn("dense", often(F.col("heads") * F.col("heads") / F.col("items"))), "sizes")
+    met = single.join(sizes.where("not dense").select("key"), "key", "left_semi").join(counts, ["key", "item"])
     ordered = met.groupBy("key", "node").agg(F.array_sort(F.collect_list(F.struct("rows", "item"))).alias("items"), F.count("*").alias("n"))
-    first = F.slice("items", F.lit(1), (F.col("n") - F.ceil(F.col("n") * over - 1e-9) + 1).cast("int"))
-    heads = save(ordered.select("key", "node", "n", F.explode(first).alias("x")).select("key", "node", "n", F.col("x.item").alias("item")), "heads")
+    heads = save(ordered.select("key", "node", "n", F.explode(F.slice("items", F.lit(1), head)).alias("x")).select("key", "node", "n", F.col("x.item").alias("item")), "heads")
+    meet = heads.groupBy("key", "item").agg(F.count("*").cast("double").alias("c")).groupBy("key").agg(F.sum(F.col("c") * F.col("c")).alias("meet"))
+    known = save(sizes.join(meet, "key", "left").select("key", "members", (F.col("dense") | often(F.col("meet"))).alias("dense")), "sizes")
+    heads = heads.join(known.where("dense").select("key"), "key", "left_anti")
     left, right = heads.toDF("key", "a", "na", "item"), heads.toDF("key", "b", "nb", "item")
     near = left.join(right, ["key", "item"]).where((F.col("a") < F.col("b")) & (F.least("na", "nb") >= F.greatest("na", "nb") * over)).select("key", "a", "b").distinct()
     whole = near.join(sets.toDF("key", "a", "xa", "na"), ["key", "a"]).join(sets.toDF("key", "b", "xb", "nb"), ["key", "b"])
     both = F.size(F.array_intersect("xa", "xb"))
-    return whole.withColumn("jaccard", both / (F.col("na") + F.col("nb") - both)).where(F.col("jaccard") > over).select(F.col("key").alias(key), "a", "b", "jaccard")
+    sparse = whole.withColumn("jaccard", both / (F.col("na") + F.col("nb") - both)).where(F.col("jaccard") > over).select("key", "a", "b", "jaccard")
+    return sparse.unionByName(_all_pairs(sets, known.where("dense").select("key", "members"), over, linked)).withColumnRenamed("key", key)
+
+
+def _all_pairs(sets: DataFrame, keys: DataFrame, over: float, linked: bool, block: int = 1000, columns: int = 4096) -> DataFrame:
+    """(key, a, b, jaccard) of the similar pairs of these (key, members), or links that connect the same members.
+
+    Members are dealt to blocks of about ``block`` sets; every two blocks of a key are compared in one group.
+    """
+    kind = {c: sets.schema[c].dataType.simpleString() for c in ("key", "node")}
+    blocks = F.ceil(F.col("members") / block).cast("int")
+    dealt = sets.join(keys, "key").withColumn("own", F.pmod(F.xxhash64("node"), blocks).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    dealt = dealt.select("key", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "node", "items", F.col("n").cast("double").alias("n"))
+
+    def run(group: pa.Table) -> pa.Table:
+        nodes, items = group.column("node").combine_chunks(), group.column("items").combine_chunks()
+        own, n = group.column("own").to_numpy(), group.column("n").to_numpy()
+        i, j = group.column("i")[0].as_py(), group.column("j")[0].as_py()
+        rank = pc.rank(nodes, tiebreaker="dense").to_numpy().astype(np.int64)
+        left, right = np.flatnonzero(own == i), np.flatnonzero(own == j)
+        both = _shared(items, left, right, columns)
+        jaccard = both / (n[left, None] + n[right] - both)
+        similar = (jaccard > over) & ((rank[left, None] < rank[right]) if i == j else (rank[left, None] != rank[right]))
+        if linked:
+            a, b = _connect(similar, left, right, len(nodes))
+            value = np.ones(len(a))
+        else:
+            x, y = np.nonzero(similar)
+            a, b, value = left[x], right[y], jaccard[x, y]
+        a, b = np.where(rank[a] < rank[b], a, b), np.where(rank[a] < rank[b], b, a)
+        found = [pa.repeat(group.column("key")[0], len(a)), nodes.take(pa.array(a)), nodes.take(pa.array(b)), pa.array(value)]
+        whole = pa.RecordBatch.from_arrays(found, ["key", "a", "b", "jaccard"])
+        return pa.Table.from_batches([whole.slice(at, 50_000) for at in range(0, max(len(a), 1), 50_000)])
+
+    parts = 4 * sets.sparkSession.sparkContext.defaultParallelism  # results are far larger than the sets, by which Spark would join partitions
+    return dealt.repartition(parts, "key", "i", "j").groupBy("key", "i", "j").applyInArrow(run, f"key {kind['key']}, a {kind['node']}, b {kind['node']}, jaccard double")
+
+
+def _shared(items: pa.ListArray, left: np.ndarray, right: np.ndarray, columns: int) -> np.ndarray:
+    """How many items each set of ``left`` shares with each of ``right``, from products over ``columns`` items at a time."""
+    code = items.flatten().dictionary_encode().indices.to_numpy().astype(np.int64)
+    owner = np.repeat(np.arange(len(items)), items.value_lengths().to_numpy())
+    both = np.zeros((len(left), len(right)))
+    place = np.zeros((2, len(items)), np.int64)
+    place[0, left], place[1, right] = np.arange(len(left)), np.arange(len(right))
+    held = [np.isin(owner, side) for side in (left, right)]
+    common = np.intersect1d(code[held[0]], code[held[1]])
+    for low in range(0, len(common), columns):
+        part = common[low : low + columns]
+        at = np.searchsorted(part, code).clip(max=len(part) - 1)
+        hit = part[at] == code
+        sides = []
+        for side, rows in enumerate((left, right)):
+            matrix, on = np.zeros((len(rows), len(part)), np.float32), hit & held[side]
+            matrix[place[side, owner[on]], at[on]] = 1
+            sides.append(matrix)
+        both += sides[0] @ sides[1].T
+    return both
+
+
+def _connect(similar: np.ndarray, left: np.ndarray, right: np.ndarray, rows: int) -> tuple[np.ndarray, np.ndarray]:
+    """Links from one row of each component of a block pair's similar rows to its others."""
+    near = np.zeros((rows, rows), bool)
+    near[np.ix_(left, right)] = similar
+    near |= near.T
+    new, a, b = near.any(axis=1), [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    while new.any():
+        first = int(np.argmax(new))
+        new[first] = False
+        front = np.array([first])
+        while len(front):
+            front = np.flatnonzero(near[front].any(axis=0) & new)
+            new[front] = False
+            a.append(np.full(len(front), first))
+            b.append(front)
+    return np.concatenate(a), np.concatenate(b)
 
 
 def cluster(members: DataFrame, edges: DataFrame, node: str) -> DataFrame:
@@ -177,7 +275,7 @@ def run_cycle(forecasts: DataFrame, records: DataFrame, buckets: DataFrame, mark
     single, gross, net, order = caps
     calibrated = save(calibrate(forecasts, records, buckets, shrinkage), "calibrated")
     evidence = forecasts.select("instrument_id", "signal_id", "evidence")
-    clusters = cluster(evidence.select("signal_id"), similar_pairs(evidence, "instrument_id", "signal_id", "evidence", 0.5), "signal_id")
+    clusters = cluster(evidence.select("signal_id"), similar_links(evidence, "instrument_id", "signal_id", "evidence", 0.5), "signal_id")
     merged = merge_clusters(calibrated.join(clusters, "signal_id").join(evidence.select("signal_id", "evidence"), "signal_id"))
     edges = merged.groupBy("instrument_id").agg(F.sum(F.col("weight") * F.col("excess")).alias("edge"))
     rows = market.join(edges, "instrument_id", "left")
